@@ -1,4 +1,8 @@
 """Every registered query with its oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import trains, waveforms
+
+QUERIES = {**trains.QUERIES, **waveforms.QUERIES}
+ORACLES = {**trains.ORACLES, **waveforms.ORACLES}
