@@ -27,8 +27,8 @@ _BASE = {
 }
 _CHECK = {
     "email": "true",
-    "ip": "list_bool_and(list_transform(string_split(m, '.'), p -> len(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255))",
-    "card": "len(g) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, len(g) + 1), i -> CASE WHEN i % 2 = 1 THEN g[len(g) + 1 - i]::INT WHEN g[len(g) + 1 - i]::INT > 4 THEN 2 * g[len(g) + 1 - i]::INT - 9 ELSE 2 * g[len(g) + 1 - i]::INT END)) % 10 = 0",
+    "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda p: len(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255))",
+    "card": "len(g) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, len(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN g[len(g) + 1 - i]::INT WHEN g[len(g) + 1 - i]::INT > 4 THEN 2 * g[len(g) + 1 - i]::INT - 9 ELSE 2 * g[len(g) + 1 - i]::INT END)) % 10 = 0",
     "phone": "len(g) BETWEEN 8 AND 15",
 }
 
@@ -38,7 +38,7 @@ def _spans(kind: str, order: int) -> str:
     return f"""
 SELECT r, '{kind}' AS kind, {order} AS o, s, s + len(m) AS e FROM (
   SELECT r, m, regexp_replace(m, '[^0-9]', '', 'g') AS g, (coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(sizes[1:i - 1]), 0))::BIGINT AS s FROM (
-    SELECT r, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, list_transform(string_split_regex(t, '{p}'), x -> len(x)) AS gaps, list_transform(ms, x -> len(x)) AS sizes
+    SELECT r, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, list_transform(string_split_regex(t, '{p}'), lambda x: len(x)) AS gaps, list_transform(ms, lambda x: len(x)) AS sizes
     FROM (SELECT r, t, regexp_extract_all(t, '{p}') AS ms FROM d) WHERE len(ms) > 0
   )
 ) WHERE {_CHECK[kind]}"""
