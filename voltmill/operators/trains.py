@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINE = Window.partitionBy("unit").orderBy("t", "event_id")
+
+def line():
+    """A unit's events in time."""
+    return Window.partitionBy("unit").orderBy("t", "event_id")
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """Adds ``isi``: the time since the unit's previous event, null at its first."""
-    return events.withColumn("isi", F.col("t") - F.lag("t").over(LINE))
+    return events.withColumn("isi", F.col("t") - F.lag("t").over(line()))
 
 
 def refractory(events: DataFrame, period: int) -> DataFrame:
@@ -23,7 +26,7 @@ def refractory(events: DataFrame, period: int) -> DataFrame:
 
 def violation_flags(events: DataFrame, period: int) -> DataFrame:
     """Adds ``before`` and ``after``: whether the neighbouring event is nearer than ``period``."""
-    gap = F.lead("t").over(LINE) - F.col("t")
+    gap = F.lead("t").over(line()) - F.col("t")
     return intervals(events).withColumn("before", F.coalesce(F.col("isi") < period, F.lit(False))).withColumn("after", F.coalesce(gap < period, F.lit(False))).drop("isi")
 
 
@@ -58,5 +61,5 @@ def cross_correlogram(binned: DataFrame, pairs: DataFrame, lags: int) -> DataFra
 
 def equal_count_trend(events: DataFrame, value: str, per_bin: int) -> DataFrame:
     """(unit, bin, mean): means of each ``per_bin`` successive events; what is left at the end is dropped."""
-    numbered = events.withColumn("k", F.row_number().over(LINE) - 1).withColumn("bin", F.floor(F.col("k") / per_bin))
+    numbered = events.withColumn("k", F.row_number().over(line()) - 1).withColumn("bin", F.floor(F.col("k") / per_bin))
     return numbered.groupBy("unit", "bin").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") == per_bin).drop("n")

@@ -168,12 +168,12 @@ def gram_matrix(spark, sf):
     return x.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(r6(F.sum(F.col("a").cast("double") * F.col("b")) / n).alias("g"))
 
 
-@query(f"SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], t.w::DOUBLE[]) / list_inner_product(t.w::DOUBLE[], t.w::DOUBLE[]), 5) AS amplitude, round(list_sum(list_transform(list_zip(e.embedding, t.w), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) / 64, 6) AS mse FROM embeddings e JOIN {_VEC} t USING (label)")
+@query(f"SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], t.w::DOUBLE[]) / list_inner_product(t.w::DOUBLE[], t.w::DOUBLE[]), 4) AS amplitude, round(list_sum(list_transform(list_zip(e.embedding, t.w), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) / 64, 6) AS mse FROM embeddings e JOIN {_VEC} t USING (label)")
 def reconstruction_mse(spark, sf):
     w = waveforms(spark, sf).join(F.broadcast(_vectors(spark, sf)), "label")
     d = templates.distance(F.col("embedding"), F.col("vector"))
     a = templates.dot(F.col("embedding"), F.col("vector")) / templates.dot(F.col("vector"), F.col("vector"))
-    return w.select("vec_id", F.round(a, 5).alias("amplitude"), r6(d * d / 64).alias("mse"))
+    return w.select("vec_id", F.round(a, 4).alias("amplitude"), r6(d * d / 64).alias("mse"))
 
 
 @query(f"WITH b AS (SELECT e.vec_id, e.label AS i, t.label AS j, list_inner_product(e.embedding::DOUBLE[], t.w::DOUBLE[]) / list_inner_product(t.w::DOUBLE[], t.w::DOUBLE[]) AS b FROM embeddings e, {_VEC} t), own AS (SELECT vec_id, b AS own FROM b WHERE i = j) SELECT i, j, count(*) FILTER (b >= own) AS chances, count(*) AS n FROM b JOIN own USING (vec_id) WHERE i <> j GROUP BY i, j")
