@@ -24,7 +24,7 @@ from .shared import partitions
 from .tokens import slices, window_hashes, words
 
 _PACKED = "bucket int, hashes binary, k1 binary, k2 binary, runs binary, at binary"
-_PLACES = "k1 long, k2 long, at binary"
+_PLACES = "k1 long, k2 long, places binary"
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -106,7 +106,7 @@ def _windows(width: int, period: int, buckets: int):
                 w = words(part)
                 open_at = np.zeros(len(w.start) + 1, np.int64)
                 for r in range(len(part)):
-                    at = np.frombuffer(b"".join(places[begin + r].as_py()), np.uint32).astype(np.int64)
+                    at = np.frombuffer(places[begin + r].as_buffer(), np.uint32).astype(np.int64)
                     low, high = np.maximum(at - back, 0), np.minimum(at, w.counts[r] - width) + 1
                     some = high > low
                     np.add.at(open_at, low[some] + w.first[r], 1)
@@ -122,22 +122,25 @@ def _windows(width: int, period: int, buckets: int):
     return emit
 
 
-def _find(narrow: bool):
-    """Of one bucket's places those whose hash comes twice, and those that are known to be repeated."""
+def _unpack(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k1, k2 = (np.repeat(np.frombuffer(x[k], np.int64), np.frombuffer(x["runs"], np.uint32)) for k in ("k1", "k2"))
+    return k1, k2, np.frombuffer(x["at"], np.uint32)
+
+
+def _find(buckets: int, narrow: bool):
+    """Of one bucket's places those whose hash comes twice, and those that are known to be repeated; packed again, by text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows = [], []
+        hashes, rows, known = [], [], []
         for batch in batches:
             for x in batch.to_pylist():
-                k1, k2 = (np.repeat(np.frombuffer(x[k], np.int64), np.frombuffer(x["runs"], np.uint32)) for k in ("k1", "k2"))
-                at = np.frombuffer(x["at"], np.uint32)
                 if x["hashes"]:
                     # narrow hashes are the quotient by the number of buckets, so they compare within a bucket only
                     h = np.frombuffer(x["hashes"], np.uint32).astype(np.uint64) | (np.uint64(x["bucket"]) << np.uint64(32)) if narrow else np.frombuffer(x["hashes"], np.uint64)
                     hashes.append(h)
-                    rows.append((k1, k2, at))
-                elif len(at):
-                    yield from _places(k1, k2, at)
+                    rows.append(_unpack(x))
+                else:
+                    known.append(_unpack(x))
         if hashes:
             h = np.concatenate(hashes)
             order = np.argsort(h)
@@ -146,24 +149,43 @@ def _find(narrow: bool):
             twice = np.zeros(len(h), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
-            yield from _places(*(np.concatenate(x)[twice] for x in zip(*rows, strict=True)))
+            known.append(tuple(np.concatenate(x)[twice] for x in zip(*rows, strict=True)))
+        if known:
+            k1, k2, at = (np.concatenate(x) for x in zip(*known, strict=True))
+            bucket = (k1.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((at, k2, k1, bucket))
+            k1, k2, at, bucket = k1[order], k2[order], at[order], bucket[order]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(at) else np.zeros(1, np.int64)
+            rows = [[] for _ in range(5)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                runs = _runs(k1[a:b], k2[a:b])
+                for out, x in zip(rows, (int(bucket[a]), k1[a:b][runs[:-1]].tobytes(), k2[a:b][runs[:-1]].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), at[a:b].tobytes()), strict=True):
+                    out.append(x)
+            yield pa.record_batch([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "k1", "k2", "runs", "at"])
 
     return find
 
 
-def _places(k1: np.ndarray, k2: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((at, k2, k1))
-    k1, k2, at = k1[order], k2[order], at[order]
-    edges = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), True]) if len(at) else np.zeros(1, np.int64)
-    if len(edges) > 1:
-        own = edges[:-1]
-        yield pa.record_batch([k1[own], k2[own], pa.array([at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["k1", "k2", "at"])
+def _runs(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]), True]) if len(k1) else np.zeros(1, np.int64)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text with all its places."""
+    rows = [_unpack(x) for batch in batches for x in batch.to_pylist()]
+    if rows:
+        k1, k2, at = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((at, k2, k1))
+        k1, k2, at = k1[order], k2[order], at[order]
+        runs = _runs(k1, k2)
+        yield pa.record_batch([k1[runs[:-1]], k2[runs[:-1]], pa.array([at[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:], strict=True)], pa.binary())], names=["k1", "k2", "places"])
 
 
 def _repeated(packed: DataFrame, buckets: int, narrow: bool) -> DataFrame:
-    """(k1, k2, places): for each text the places whose hash occurs twice. places: at most one part for each bucket."""
-    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_find(narrow), _PLACES)
-    return found.groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    """(k1, k2, places): for each text that has some the places whose hash occurs twice."""
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_find(buckets, narrow), "bucket int, k1 binary, k2 binary, runs binary, at binary")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(_gather, _PLACES)
 
 
 def _strip(width: int):
@@ -177,7 +199,7 @@ def _strip(width: int):
                 if copies[i] > 1 and n >= width:
                     own = []
                 elif places[i].is_valid:
-                    at = np.frombuffer(b"".join(places[i].as_py()), np.uint32).astype(np.int64)
+                    at = np.frombuffer(places[i].as_buffer(), np.uint32).astype(np.int64)
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + width, -1)
