@@ -33,9 +33,9 @@ SYMBOLS = SIDE * SIDE
 RARE = 64
 WORDS = SYMBOLS - RARE
 START = SYMBOLS
-ROWS = 1 << 15
+ROWS = 1 << 14
 FREQUENT = 1 << 18
-UPDATES = 4
+UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
 SMOOTH = 24.0  # words added to each symbol's followers in a class
 END = np.uint64(0x656E64)  # the hash of the end token
@@ -154,6 +154,10 @@ class Model:
     both: np.ndarray
     within: np.ndarray
 
+    def small(self) -> Model:
+        """What the class probabilities need, in single precision."""
+        return Model(*(x.astype(np.float32) for x in (self.prior, self.last, self.skip, self.both)), np.zeros(0))
+
     def classes(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Log probabilities of the classes after each pair."""
         z = self.prior + self.last[last] + self.skip[before] + self.both[_row(before, last)]
@@ -183,7 +187,9 @@ def _expect(model):
 
 def _train(train: DataFrame, vocabulary: Vocabulary) -> Model:
     spark = train.sparkSession
-    table = table_sum(train, _NEXT + _SKIP + _BOTH + _PAIRS, _observe(spark.sparkContext.broadcast(vocabulary)))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    table = table_sum(train, _NEXT + _SKIP + _BOTH + _PAIRS, _observe(shared))
+    shared.destroy()
     nexts, skip, both, pairs = np.split(table, np.cumsum([_NEXT, _SKIP, _BOTH]))
     nexts, skip, both, pairs = nexts.reshape(-1, SIDE, SIDE), skip.reshape(-1, SIDE), both.reshape(-1, SIDE), pairs.reshape(START + 1, -1)
     exists = np.arange(SYMBOLS) < min(WORDS, int((vocabulary.symbol >= 0).sum()))
@@ -195,17 +201,19 @@ def _train(train: DataFrame, vocabulary: Vocabulary) -> Model:
     with np.errstate(divide="ignore"):
         within = np.log((nexts + SMOOTH * share) / (after + SMOOTH)[:, :, None]).reshape(START + 1, SYMBOLS)
         prior = np.log(of_class / of_class.sum())
-    model = Model(prior, np.zeros_like(skip), np.zeros_like(skip), np.zeros_like(both), within.astype(np.float32))
+    model = Model(prior, np.zeros_like(skip), np.zeros_like(skip), np.zeros_like(both), within)
     held = np.flatnonzero(pairs.any(axis=1))
     blocks = spark.createDataFrame([(int(b), pairs[b].tobytes()) for b in held], "before int, pairs binary").repartition(min(partitions(spark), 64)) if len(held) else None
     base = np.exp(prior)
     for _ in range(UPDATES if blocks is not None else 0):
-        expected = table_sum(blocks, 2 * _SKIP + _BOTH, _expect(spark.sparkContext.broadcast(model)))
+        now = spark.sparkContext.broadcast(model.small())
+        expected = table_sum(blocks, 2 * _SKIP + _BOTH, _expect(now))
+        now.destroy()  # a broadcast's files stay with every executor until then
         e_last, e_skip, e_both = (x.reshape(-1, SIDE) for x in np.split(expected, np.cumsum([_SKIP, _SKIP])))
         for weight, o, e, step in ((model.last, after, e_last, 0.5), (model.skip, skip, e_skip, 0.4), (model.both, both, e_both, 0.5)):
             pull = PULL * base + 1e-9
             weight += step * np.log((o + pull) / (e + pull))
-    return model
+    return Model(*(x.astype(np.float32) for x in (model.prior, model.last, model.skip, model.both, model.within)))
 
 
 def _score(vocabulary, model):
