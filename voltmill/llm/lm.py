@@ -60,11 +60,15 @@ def tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [tokens(part)[:2] for _, part in slices(batch.column("text"))]
-        if found:
-            h, group = (np.concatenate(x) for x in zip(*found, strict=True))
+        found = []
+        for _, part in slices(batch.column("text")):
+            h, group, _ = tokens(part)
             h, at, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.record_batch([h.view(np.int64), group[at].astype(np.int32), n], names=["hash", "rare", "n"])
+            found.append((h, group[at].astype(np.int32), n))
+        if found:
+            h, group, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, at, which = np.unique(h, return_index=True, return_inverse=True)
+            yield pa.record_batch([h.view(np.int64), group[at], np.bincount(which, n).astype(np.int64)], names=["hash", "rare", "n"])
 
 
 @dataclass
@@ -133,9 +137,8 @@ def _observe(vocabulary):
         table = np.zeros(_NEXT + _SKIP + _BOTH + _PAIRS)
         parts = np.split(table, np.cumsum([_NEXT, _SKIP, _BOTH]))
         for batch in batches:
-            found = [_symbols(vocabulary.value, *tokens(part))[:3] for _, part in slices(batch.column("text"))]
-            if found:
-                symbol, last, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            for _, text in slices(batch.column("text")):
+                symbol, last, before = _symbols(vocabulary.value, *tokens(text))[:3]
                 owner = symbol // SIDE
                 for part, at in zip(parts, (last * SYMBOLS + symbol, before * SIDE + owner, _row(before, last) * SIDE + owner, before * (START + 1) + last), strict=True):
                     part += np.bincount(at, minlength=len(part))

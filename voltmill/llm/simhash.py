@@ -173,7 +173,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
 
     Null ids come last. Of rows with that id and the least fingerprint among them one stays, whichever.
     """
-    printed = materialise(fingerprints(docs.withColumn("_text", F.col(text)), "_text", width).withColumnRenamed("fp", "_fp"))
+    whole = docs.withColumnRenamed("fp", "_own_fp").withColumn("_text", F.col(text))
+    printed = materialise(fingerprints(whole, "_text", width).withColumnRenamed("fp", "_fp").withColumnRenamed("_own_fp", "fp"))
     prints = printed.select(F.col(id).alias("id"), F.col("_fp").alias("fp"))
     named = _named(prints)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first"))

@@ -155,9 +155,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every.update(own)
             if label:
                 toxic.update(own)
-        # a stem no toxic document has is never a term
-        yield pa.record_batch([pa.array(list(toxic)), pa.array([every[x] for x in toxic], pa.int64()), pa.array(list(toxic.values()), pa.int64())], names=["term", "n", "toxic"])
-        yield pa.record_batch([pa.array(list(every.keys() - toxic.keys())), pa.array([every[x] for x in every.keys() - toxic.keys()], pa.int64()), pa.array([0] * len(every.keys() - toxic.keys()), pa.int64())], names=["term", "n", "toxic"])
+        yield pa.record_batch([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[x] for x in every], pa.int64())], names=["term", "n", "toxic"])
 
 
 def learn_lexicon(fit: DataFrame) -> tuple[str, ...]:
@@ -177,9 +175,15 @@ def learn_lexicon(fit: DataFrame) -> tuple[str, ...]:
     return tuple(t[:-1] if t.endswith(".") else t + "*" for t in terms)
 
 
+def _terms(meant, quoted, misspelled, misspelled_quoted) -> list:
+    """What the regression weighs: all hits, quoted ones by half, then what sets the other kinds apart from those that are meant.
+    A kind that the labels say nothing of keeps the weight of all hits."""
+    return [meant + misspelled + 0.5 * (quoted + misspelled_quoted), quoted, misspelled, misspelled_quoted]
+
+
 def _matrix(counts: np.ndarray) -> np.ndarray:
-    counts = counts.reshape(-1, len(FEATURES)).astype(np.float64)
-    return np.column_stack([np.ones(len(counts)), counts > 0, np.log1p(counts)])
+    columns = _terms(*counts.reshape(-1, len(FEATURES)).astype(np.float64).T)
+    return np.column_stack([np.ones(len(counts)), *(x > 0 for x in columns), *map(np.log1p, columns)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -239,8 +243,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     score = F.lit(0.0)
     if weight is not None:
         z = F.lit(float(weight[0]))
-        for k, f in enumerate(FEATURES):
-            z = z + F.when(F.col(f) > 0, float(weight[1 + k])).otherwise(0.0) + float(weight[1 + len(FEATURES) + k]) * F.log1p(f)
+        for k, x in enumerate(_terms(*map(F.col, FEATURES))):
+            z = z + F.when(x > 0, float(weight[1 + k])).otherwise(0.0) + float(weight[1 + len(FEATURES) + k]) * F.log1p(x)
         score = 1 / (1 + F.exp(-z))
     done = counted.withColumn("held_out", held_out(id)).withColumn("score", score.cast("double"))
     return done.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
