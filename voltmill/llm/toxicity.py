@@ -186,7 +186,7 @@ def _matrix(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(counts)), *(x > 0 for x in columns), *map(np.log1p, columns)])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
