@@ -73,7 +73,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: st
 
     ``trusted``: ids of the trusted documents; nulls and repeats in it change nothing. Without any trusted document the ratios are 0.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True))
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True)).hint("merge")  # one plan at every size
     marked = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left").select("text", F.coalesce("_in", F.lit(False)).alias("trusted"))
     table = table_sum(marked, 2 * BUCKETS, _count)
     raw, target = table[:BUCKETS], table[BUCKETS:]
