@@ -12,7 +12,7 @@ def test_raw_chunks_put_together_are_the_file(spark, tmp_path):
     path = tmp_path / "r.dat"
     path.write_bytes(b"head" + x.tobytes())
     raw.register(spark)
-    rows = spark.read.format("raw_recording").options(path=str(path), channels=3, dtype="int16", header=4, chunk=300, halo=20, gain=0.5).load().orderBy("chunk_id").collect()
+    rows = spark.read.format("recording").options(path=str(path), channels=3, dtype="int16", header=4, chunk=300, halo=20, gain=0.5).load().orderBy("chunk_id").collect()
     assert [r.n for r in rows] == [300, 300, 300, 100] and [r.before for r in rows] == [0, 20, 20, 20]
     whole = np.concatenate([raw.samples(r)[r.before : r.before + r.n] for r in rows])
     assert (whole == x * np.float32(0.5)).all()

@@ -24,18 +24,15 @@ def butter(order: int, low: float, high: float, rate: float) -> np.ndarray:
 
 
 def filtfilt(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
-    """Zero-phase filtering: forward, then backward. The caller's halo takes up what starts at the ends."""
-    y = np.asarray(x, np.float64)
-    for _ in range(2):
-        for b0, b1, b2, _, a1, a2 in sections:
-            out, s1, s2 = np.empty_like(y), np.zeros(y.shape[1:]), np.zeros(y.shape[1:])
-            for t in range(len(y)):
-                out[t] = b0 * y[t] + s1
-                s1 = b1 * y[t] - a1 * out[t] + s2
-                s2 = b2 * y[t] - a2 * out[t]
-            y = out
-        y = y[::-1]
-    return y
+    """Zero-phase filtering, as forward and backward runs give it: the squared gain, by Fourier transform over time.
+
+    Samples outside ``x`` count as zero, so the caller's halo must take up what starts at the ends.
+    """
+    x = np.asarray(x, np.float64)
+    n = 1 << max(1, 2 * len(x) - 1).bit_length()
+    z = np.exp(2j * np.pi * np.arange(n // 2 + 1) / n)
+    gain = np.prod([np.abs(np.polyval(s[:3], z) / np.polyval(s[3:], z)) ** 2 for s in sections], axis=0)
+    return np.fft.irfft(np.fft.rfft(x, n, axis=0) * gain.reshape(-1, *[1] * (x.ndim - 1)), n, axis=0)[: len(x)]
 
 
 def find_peaks(x: np.ndarray, height: float, distance: int = 1) -> np.ndarray:
@@ -47,11 +44,11 @@ def find_peaks(x: np.ndarray, height: float, distance: int = 1) -> np.ndarray:
     at = (start[up] + stop[up]) // 2
     at = at[x[at] >= height]
     keep = np.ones(len(at), bool)
+    low, high = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
     for i in np.argsort(x[at], kind="stable")[::-1]:
         if keep[i]:
-            near = np.abs(at - at[i]) < distance
-            near[i] = False
-            keep &= ~near
+            keep[low[i] : high[i]] = False
+            keep[i] = True
     return at[keep]
 
 
@@ -70,7 +67,9 @@ def pca(x: np.ndarray, components: int) -> np.ndarray:
 
 def density_clusters(x: np.ndarray, k: int, clusters: int) -> np.ndarray:
     """Labels by density peaks: centres have many near neighbours and no denser point nearby; the rest follow their nearest denser point."""
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    power = (x**2).sum(axis=1)
+    d = np.sqrt(np.maximum(power[:, None] + power - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
     rho = np.sort(d, axis=1)[:, 1 : k + 1].mean(axis=1)
     order = np.lexsort((np.arange(len(x)), rho))
     delta, parent = np.full(len(x), d.max()), np.full(len(x), -1)
@@ -86,15 +85,18 @@ def density_clusters(x: np.ndarray, k: int, clusters: int) -> np.ndarray:
     return label
 
 
-def greedy_match(x: np.ndarray, templates: np.ndarray, low: float, high: float, rounds: int = 10_000) -> list[tuple[int, int, float]]:
-    """(template, start, amplitude) found by subtracting the best fit again and again. x: (time, channel); templates: (n, time, channel)."""
+def greedy_match(x: np.ndarray, templates: np.ndarray, low: float, high: float) -> list[tuple[int, int, float]]:
+    """(template, start, amplitude) found by subtracting the best fit until none is between ``low`` and ``high``; each place of a template
+    is taken once, so it ends. x: (time, channel); templates: (n, time, channel)."""
     rest, n, t = np.asarray(x, np.float64).copy(), len(templates), templates.shape[1]
     power = (templates**2).sum(axis=(1, 2))
     places = len(rest) - t + 1
+    if places < 1 or not n:
+        return []
     score = np.stack([sum(np.correlate(rest[:, c], w[:, c], "valid") for c in range(rest.shape[1])) for w in templates]) / power[:, None]
     gram = [[sum(np.correlate(templates[i][:, c], templates[j][:, c], "full") for c in range(rest.shape[1])) for j in range(n)] for i in range(n)]
     open_, out = np.ones_like(score, bool), []
-    for _ in range(rounds):
+    while True:
         gain = np.where(open_ & (score > low) & (score < high), score * np.sqrt(power)[:, None], -np.inf)
         i, at = np.unravel_index(gain.argmax(), gain.shape)
         if gain[i, at] == -np.inf:

@@ -1,12 +1,17 @@
-"""Raw interleaved recordings as Spark data sources, read in chunks with halos."""
+"""Recordings as Spark data sources: read in chunks with halos, written as one file for each chunk."""
 
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from .layouts import layout
+from .probefile import natural_key
 
 SCHEMA = "chunk_id long, t_start long, n long, before int, channels int, samples binary"
 
@@ -16,47 +21,76 @@ class Chunk(InputPartition):
         self.number, self.start, self.stop = number, start, stop
 
 
-class RawReader(DataSourceReader):
+class RecordingReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.channels = options["path"], int(options["channels"])
-        self.dtype = np.dtype(options.get("dtype", "float32"))
-        self.skip = int(options.get("header", 0))
+        path, form = options["path"], options.get("layout", "raw_binary")
+        paths = path.split(",")
+        if form == "raw_binary" and len(paths) == 1 and os.path.isdir(path):
+            paths = [os.path.join(path, n) for n in sorted(os.listdir(path), key=natural_key) if n.endswith(".dat")]
+        self.layout = layout(paths, form, options)
+        self.keep = [int(c) for c in options["keep"].split(",")] if options.get("keep") else None
         self.chunk, self.halo = int(options.get("chunk", 1 << 16)), int(options.get("halo", 0))
-        self.gain, self.offset = float(options.get("gain", 1)), float(options.get("offset", 0))
-        self.steps = (os.path.getsize(self.path) - self.skip) // (self.dtype.itemsize * self.channels)
 
     def partitions(self) -> list[Chunk]:
-        return [Chunk(i, a, min(a + self.chunk, self.steps)) for i, a in enumerate(range(0, self.steps, self.chunk))]
-
-    def read(self, part: Chunk):
-        low, high = max(0, part.start - self.halo), min(self.steps, part.stop + self.halo)
-        with open(self.path, "rb") as f:
-            f.seek(self.skip + low * self.channels * self.dtype.itemsize)
-            raw = np.frombuffer(f.read((high - low) * self.channels * self.dtype.itemsize), self.dtype)
-        samples = ((raw.astype(np.float32) - np.float32(self.offset)) * np.float32(self.gain)).tobytes()
+        steps = self.layout.steps
+        return [Chunk(i, a, min(a + self.chunk, steps)) for i, a in enumerate(range(0, steps, self.chunk))]
+
+    def read(self, part: Chunk | None):
+        if part is None:  # an empty recording has no chunks
+            return
+        low, high = max(0, part.start - self.halo), min(self.layout.steps, part.stop + self.halo)
+        x = self.layout.read(low, high)
+        if self.keep is not None:
+            x = x[:, self.keep]
         names = ["chunk_id", "t_start", "n", "before", "channels", "samples"]
-        columns = [pa.array([part.number]), pa.array([part.start]), pa.array([part.stop - part.start]), pa.array([part.start - low], pa.int32()), pa.array([self.channels], pa.int32()), pa.array([samples], pa.binary())]
+        columns = [pa.array([part.number]), pa.array([part.start]), pa.array([part.stop - part.start]), pa.array([part.start - low], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())]
         yield pa.record_batch(columns, names=names)
 
 
-class RawRecording(DataSource):
-    """``spark.read.format("raw_recording")``: a row for each chunk of ``chunk`` steps, its samples as float32 in C order (time, channel),
-    ``before`` of them and as many after from the neighbours. Options: path (which executors can open), channels, dtype, header
-    bytes, gain, offset, chunk, halo. A last incomplete step is not read."""
+class ChunkWriter(DataSourceWriter):
+    """A file of its own samples for each chunk, named by its start, put in place in one step: a task that runs again leaves the same files."""
+
+    def __init__(self, options: dict):
+        self.path, self.dtype = options["path"], np.dtype(options.get("dtype", "float32"))
+        self.gain, self.offset = float(options.get("gain", 1)), float(options.get("offset", 0))
+        os.makedirs(self.path, exist_ok=True)
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        for row in rows:
+            x = samples(row)[row.before : row.before + row.n] / np.float32(self.gain) + np.float32(self.offset)
+            if self.dtype.kind in "iu":
+                x = np.clip(np.rint(x), np.iinfo(self.dtype).min, np.iinfo(self.dtype).max)
+            part = os.path.join(self.path, f"_{row.t_start:020d}-{uuid.uuid4().hex}")
+            with open(part, "wb") as f:
+                f.write(np.ascontiguousarray(x).astype(self.dtype).tobytes())
+            os.replace(part, os.path.join(self.path, f"{row.t_start:020d}.dat"))
+        return WriterCommitMessage()
+
+
+class Recording(DataSource):
+    """``spark.read.format("recording")``: a row for each chunk of ``chunk`` steps, its samples as float32 in C order (time, channel),
+    ``before`` of them and up to ``halo`` after from the neighbours. Options: path (which executors can open; several, comma between,
+    follow each other in time; a folder of .dat files is read in their order), layout (see ``layouts.READERS``), keep (channels,
+    comma between), chunk, halo, and for raw_binary channels, dtype, header bytes, gain and offset. A torn last step is not read.
+
+    ``df.write.format("recording").mode("append")`` writes chunks without their halos into the folder ``path``; options dtype, gain, offset."""
 
     @classmethod
     def name(cls) -> str:
-        return "raw_recording"
+        return "recording"
 
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> RawReader:
-        return RawReader(self.options)
+    def reader(self, schema) -> RecordingReader:
+        return RecordingReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> ChunkWriter:
+        return ChunkWriter(self.options)
 
 
 def register(spark) -> None:
-    spark.dataSource.register(RawRecording)
+    spark.dataSource.register(Recording)
 
 
 def samples(row) -> np.ndarray:
