@@ -79,21 +79,26 @@ class Encoder(dict):
 
     def segment(self, text: str) -> list[int]:
         """The pieces of a text with its space marks. Of equal sums the one with the longest last piece is taken, and so on to the front."""
-        n = len(text)
-        hits: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for end, hit in self.automaton.iter(text):
-            hits[end + 1].append(hit)
-        best, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            for piece, size, score in hits[end]:
-                total = best[end - size] + score
-                if total > best[end] or total == best[end] and size > back[end][1]:
-                    best[end], back[end] = total, (piece, size)
-            if not any(size == 1 for _, size, _ in hits[end]) and best[end - 1] + self.least > best[end]:
-                best[end], back[end] = best[end - 1] + self.least, (-1, 1)
+        n, least = len(text), self.least
+        best, pieces, sizes = [-np.inf] * (n + 1), [-1] * (n + 1), [1] * (n + 1)
+        best[0], now, known = 0.0, 0, True
+        for last, (piece, size, score) in self.automaton.iter(text):
+            if last >= now:
+                # position now is settled, and so are those after it at which no piece ends
+                if not known and best[now - 1] + least > best[now]:
+                    best[now], pieces[now], sizes[now] = best[now - 1] + least, -1, 1
+                for end in range(now + 1, last + 1):
+                    best[end] = best[end - 1] + least
+                now, known = last + 1, False
+            total = best[now - size] + score
+            if total > best[now] or total == best[now] and size > sizes[now]:
+                best[now], pieces[now], sizes[now] = total, piece, size
+            known = known or size == 1
+        if not known and best[now - 1] + least > best[now]:
+            pieces[now], sizes[now] = -1, 1
         out, end = [], n
         while end:
-            piece, size = back[end]
+            piece, size = pieces[end], sizes[end]
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
