@@ -43,9 +43,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id: str = "doc_id", text:
     placed = held.select("*", (F.sum("size").over(within) - F.col("size")).alias("own_bytes"), (F.row_number().over(within) - 1).alias("own_rows")).join(F.broadcast(before), "part")
     middle = 2 * (F.col("bytes_before") + F.col("own_bytes")) + F.col("size")
     cut = materialise(
-        placed.select(
+        placed.withColumn("_middle", middle.cast("decimal(38,0)")).select(
             "id", "size", "text_crc32",
-            F.floor(middle.cast("decimal(38,0)") * shards / (2 * F.col("all_bytes"))).cast("int").alias("shard"),
+            # div is whole; a decimal quotient has six places, and rounding takes a short last row past the last shard
+            F.expr(f"cast(_middle * {shards} div (2 * all_bytes) as int)").alias("shard"),
             (F.col("rows_before") + F.col("own_rows")).alias("row"),
         )
     )
