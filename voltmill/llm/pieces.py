@@ -1,10 +1,11 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives one Viterbi pass.
+"""SentencePiece encoding and decoding, by the model's own law.
 
-The pieces and their scores come from a model file, which the driver reads and broadcasts; nothing is trained. The segmentation is
-the one with the largest sum of scores, as a unigram model with these pieces makes it; for a file whose scores are ranks of merges
-that is not always the order in which merging would join them, but it decodes to the same text.
+The pieces and their scores come from a model file, which the driver reads and broadcasts; nothing is trained. For a unigram model
+an Aho-Corasick automaton over the pieces drives one Viterbi pass, which finds the segmentation with the largest sum of scores. The
+scores of a BPE model are ranks of merges, whose sum means nothing: there neighbours are joined, the best-ranked pair first and of
+equal ones the leftmost, until no pair makes a piece.
 
-If no piece has the space mark after another character, no piece crosses the start of a word, so the best segmentation of a text is
+If no piece has the space mark after another character, no piece crosses the start of a word, so the segmentation of a text is
 that of its words one after another. Words are segmented once and remembered up to ``CACHE``; the texts become arrays by lookup.
 Models with longer pieces have every text segmented whole.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ class Pieces:
     scores: tuple[float, ...]
     kinds: tuple[int, ...]
     dummy_prefix: bool = True
+    merges: bool = False
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -46,7 +49,12 @@ class Pieces:
             model.ParseFromString(f.read())
         if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("models that normalise text are not supported")
-        return cls(tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces), tuple(p.type for p in model.pieces), model.normalizer_spec.add_dummy_prefix)
+        kinds, merges = tuple(p.type for p in model.pieces), model.trainer_spec.model_type == 2
+        if model.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
+        if merges and {4, 5} & set(kinds):
+            raise ValueError("BPE models with user-defined or unused pieces are not supported")
+        return cls(tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces), kinds, model.normalizer_spec.add_dummy_prefix, merges)
 
     @property
     def by_words(self) -> bool:
@@ -61,10 +69,11 @@ class Encoder(dict):
 
         self.pieces, self.by_words = pieces, pieces.by_words
         self.automaton = ahocorasick.Automaton()
-        self.bytes, self.unknown = {}, 0
+        self.bytes, self.unknown, self.ids, self.ranks = {}, 0, {}, {}
         for i, (name, score, kind) in enumerate(zip(pieces.names, pieces.scores, pieces.kinds, strict=True)):
             if kind in (1, 4):
                 self.automaton.add_word(name, (i, len(name), score))
+                self.ids[name], self.ranks[name] = i, -score
             elif kind == 6:
                 self.bytes[int(name[3:5], 16)] = i
             elif kind == 2:
@@ -78,7 +87,41 @@ class Encoder(dict):
         self.flat, self.at, self.size = array("i"), array("q"), array("i")
 
     def segment(self, text: str) -> list[int]:
-        """The pieces of a text with its space marks. Of equal sums the one with the longest last piece is taken, and so on to the front."""
+        """The pieces of a text with its space marks."""
+        return self._merged(text) if self.pieces.merges else self._best(text)
+
+    def _merged(self, text: str) -> list[int]:
+        """By merges. A symbol is known by where it begins; ``end`` is 0 for those that another has taken in."""
+        n, rank = len(text), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two has changed since
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(text[i : end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if (h := before[i]) >= 0 and (r := rank(text[h:stop])) is not None:
+                heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            piece = self.ids.get(text[i : end[i]])
+            if piece is not None:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes[b] for b in text[i : end[i]].encode()]
+            else:
+                out.append(self.unknown)
+            i = end[i]
+        return out
+
+    def _best(self, text: str) -> list[int]:
+        """By the largest sum of scores. Of equal sums the one with the longest last piece is taken, and so on to the front."""
         n, least = len(text), self.least
         best, pieces, sizes = [-np.inf] * (n + 1), [-1] * (n + 1), [1] * (n + 1)
         best[0], now, known = 0.0, 0, True
@@ -123,7 +166,7 @@ class Encoder(dict):
             self.forget()
         if not self.by_words:
             return np.array(self.segment((SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)), np.int32)
-        parts = text.split(" ")
+        parts = text.replace(SPACE, " ").split(" ")  # the model does not tell them apart
         if "" in parts:
             # a run of spaces belongs to the word after it
             joined, run = [], 0
