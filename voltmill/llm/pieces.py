@@ -1,9 +1,15 @@
 """SentencePiece encoding and decoding, by the model's own law.
 
-The pieces and their scores come from a model file, which the driver reads and broadcasts; nothing is trained. For a unigram model
-an Aho-Corasick automaton over the pieces drives one Viterbi pass, which finds the segmentation with the largest sum of scores. The
-scores of a BPE model are ranks of merges, whose sum means nothing: there neighbours are joined, the best-ranked pair first and of
-equal ones the leftmost, until no pair makes a piece.
+The pieces and their scores come from a model file, which the driver reads and broadcasts; nothing is trained. An Aho-Corasick
+automaton over the pieces drives one pass from the left: at each position it names the pieces that end there, the longest first
+and the others along its output links, and the best path to that position is relaxed by each of them.
+
+What "best" means is the model's law. A unigram model adds scores, and the largest sum wins. The scores of a BPE model are ranks of
+merges, whose sum means nothing; its law is that of merging: neighbours are joined, the best-ranked pair first and of equal ones the
+leftmost, until no pair makes a piece. A path keeps that law if each two adjoining pieces do, that is if merging the text of the two
+gives back the two: the first merge across a border of the path would come as well with only the two pieces beside it. So a path
+scores zero while all its neighbours keep the law and is out otherwise, and at each position exactly one last piece is left. What
+two pieces do is found once by merging them and remembered, up to ``PAIRS``.
 
 If no piece has the space mark after another character, no piece crosses the start of a word, so the segmentation of a text is
 that of its words one after another. Words are segmented once and remembered up to ``CACHE``; the texts become arrays by lookup.
@@ -20,13 +26,15 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tokens import slices
 
 SPACE = "▁"
 #: Added to the least score for a character that is no piece.
 UNKNOWN = -10.0
-CACHE = 200_000
+CACHE = 100_000
+PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +77,7 @@ class Encoder(dict):
 
         self.pieces, self.by_words = pieces, pieces.by_words
         self.automaton = ahocorasick.Automaton()
-        self.bytes, self.unknown, self.ids, self.ranks = {}, 0, {}, {}
+        self.bytes, self.unknown, self.ids, self.ranks, self.pairs = {}, 0, {}, {}, {}
         for i, (name, score, kind) in enumerate(zip(pieces.names, pieces.scores, pieces.kinds, strict=True)):
             if kind in (1, 4):
                 self.automaton.add_word(name, (i, len(name), score))
@@ -88,9 +96,35 @@ class Encoder(dict):
 
     def segment(self, text: str) -> list[int]:
         """The pieces of a text with its space marks."""
-        return self._merged(text) if self.pieces.merges else self._best(text)
-
-    def _merged(self, text: str) -> list[int]:
+        return self._lawful(text) if self.pieces.merges else self._best(text)
+
+    def _lawful(self, text: str) -> list[int]:
+        """The one path whose neighbours all keep the law of merging; a character that is no piece stands alone."""
+        n, width, pairs, names = len(text), len(self.pieces.names), self.pairs, self.pieces.names
+        last, sizes, now = [-1] * (n + 1), [1] * (n + 1), 0
+        for at, (piece, size, _) in self.automaton.iter(text):
+            if at < now:
+                continue  # this position has its last piece
+            begin = at + 1 - size
+            before = last[begin]
+            if begin and before < 0:
+                good = self._side_by_side(text[begin - 1], names[piece])
+            else:
+                key = before * width + piece
+                good = pairs.get(key)
+                if good is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    good = pairs[key] = self._side_by_side(names[before] if begin else "", names[piece])
+            if good:
+                last[at + 1], sizes[at + 1], now = piece, size, at + 1
+        return self._back(text, last, sizes)
+
+    def _side_by_side(self, left: str, right: str) -> bool:
+        """Whether merging leaves these two as they are; an empty one is no piece."""
+        return self._merged(left + right) == [x for x in (left, right) if x]
+
+    def _merged(self, text: str) -> list[str]:
         """By merges. A symbol is known by where it begins; ``end`` is 0 for those that another has taken in."""
         n, rank = len(text), self.ranks.get
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -108,17 +142,7 @@ class Encoder(dict):
                     heappush(heap, (r, i, end[stop]))
             if (h := before[i]) >= 0 and (r := rank(text[h:stop])) is not None:
                 heappush(heap, (r, h, stop))
-        out, i = [], 0
-        while i < n:
-            piece = self.ids.get(text[i : end[i]])
-            if piece is not None:
-                out.append(piece)
-            elif self.bytes:
-                out += [self.bytes[b] for b in text[i : end[i]].encode()]
-            else:
-                out.append(self.unknown)
-            i = end[i]
-        return out
+        return [text[i : end[i]] for i in range(n) if end[i]]
 
     def _best(self, text: str) -> list[int]:
         """By the largest sum of scores. Of equal sums the one with the longest last piece is taken, and so on to the front."""
@@ -139,7 +163,11 @@ class Encoder(dict):
             known = known or size == 1
         if not known and best[now - 1] + least > best[now]:
             pieces[now], sizes[now] = -1, 1
-        out, end = [], n
+        return self._back(text, pieces, sizes)
+
+    def _back(self, text: str, pieces: list[int], sizes: list[int]) -> list[int]:
+        """The path from its end: the piece that ends at each position, -1 for a single unknown character."""
+        out, end = [], len(text)
         while end:
             piece, size = pieces[end], sizes[end]
             if piece >= 0:
@@ -200,32 +228,40 @@ class Decoder:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def _with(docs: DataFrame, name: str, kind: str) -> tuple[list[str], str]:
-    keep = [c for c in docs.columns if c != name]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{name}` {kind}"]
-    return keep, ", ".join(fields)
+def _with(docs: DataFrame, keep: list[str], *added: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + list(added))
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids", keep: list[str] | None = None, exact: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of its text; a column of that name gives way. Null stays null, an empty text has no pieces.
 
-    A text with the space mark itself in it decodes to one with spaces instead; any other is got back exactly.
+    ``keep``: the other columns of the result, all where it is not given. ``exact`` names a further column: whether the ids decode
+    to the text itself, found in the same pass; true for null. A text with the space mark itself in it decodes to one with spaces
+    instead; any other is got back exactly. Repeated rows are encoded one by one; no rows give no rows.
     """
-    keep, schema = _with(docs, ids, "array<int>")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (ids, exact)]
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for begin, part in slices(batch.column(text)):
-                found = [None if x is None else encoder.encode(x) for x in part.to_pylist()]
+            for begin, part in slices(batch.column("_text")):
+                found, same = [], []
+                for x in part:
+                    own = x.as_py()
+                    found.append(None if own is None else encoder.encode(own))
+                    if exact:
+                        same.append(own is None or decoder.decode(found[-1]) == own)
                 offsets = np.cumsum([0] + [0 if x is None else len(x) for x in found]).astype(np.int32)
                 null = pa.array([x is None for x in found] + [False])
                 values = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x in found if x is not None)]))
-                column = pa.ListArray.from_arrays(pa.array(offsets, mask=null.to_numpy(zero_copy_only=False)), values)
-                yield pa.record_batch([*(batch.column(c).slice(begin, len(part)) for c in keep), column], names=[*keep, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, mask=null.to_numpy(zero_copy_only=False)), values)]
+                if exact:
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.record_batch([*(batch.column(f"_{i}").slice(begin, len(part)) for i in range(len(keep))), *columns], names=[*keep, ids, *([exact] if exact else [])])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    schema = _with(docs, keep, f"`{ids}` array<int>", *([f"`{exact}` boolean"] if exact else []))
+    return docs.select(F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -233,7 +269,8 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decod
 
     Bytes that are no UTF-8 become U+FFFD, control pieces nothing. An id that is null or not of the model is an error.
     """
-    keep, schema = _with(docs, text, "string")
+    keep = [c for c in docs.columns if c != text]
+    schema = _with(docs, keep, f"`{text}` string")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

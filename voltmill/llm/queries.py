@@ -39,9 +39,8 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.Pieces.read(MODEL)
-    coded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    coded = pieces.encode(_table(spark, sf_dir, "documents"), pieces.Pieces.read(MODEL), keep=["doc_id"], exact="round_trip")
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
 
 
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
