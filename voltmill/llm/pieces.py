@@ -33,7 +33,7 @@ from .tokens import slices
 SPACE = "▁"
 #: Added to the least score for a character that is no piece.
 UNKNOWN = -10.0
-CACHE = 100_000
+CACHE = 300_000
 PAIRS = 300_000
 
 
@@ -76,6 +76,7 @@ class Encoder(dict):
         import ahocorasick
 
         self.pieces, self.by_words = pieces, pieces.by_words
+        self.width = len(pieces.names) + 1
         self.automaton = ahocorasick.Automaton()
         self.bytes, self.unknown, self.ids, self.ranks, self.pairs = {}, 0, {}, {}, {}
         for i, (name, score, kind) in enumerate(zip(pieces.names, pieces.scores, pieces.kinds, strict=True)):
@@ -100,26 +101,33 @@ class Encoder(dict):
 
     def _lawful(self, text: str) -> list[int]:
         """The one path whose neighbours all keep the law of merging; a character that is no piece stands alone."""
-        n, width, pairs, names = len(text), len(self.pieces.names), self.pairs, self.pieces.names
+        n, width, law = len(text), self.width, self.pairs.get
         last, sizes, now = [-1] * (n + 1), [1] * (n + 1), 0
+        last[0] = width - 1  # what stands before the first piece
         for at, (piece, size, _) in self.automaton.iter(text):
-            if at < now:
+            at += 1
+            if at == now:
                 continue  # this position has its last piece
-            begin = at + 1 - size
-            before = last[begin]
-            if begin and before < 0:
-                good = self._side_by_side(text[begin - 1], names[piece])
-            else:
-                key = before * width + piece
-                good = pairs.get(key)
-                if good is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    good = pairs[key] = self._side_by_side(names[before] if begin else "", names[piece])
+            good = law(last[at - size] * width + piece)
+            if good is None:
+                good = self._judge(last[at - size], piece, text[at - size - 1 : at - size])
             if good:
-                last[at + 1], sizes[at + 1], now = piece, size, at + 1
+                last[at] = piece
+                sizes[at] = size
+                now = at
+        last[0] = -1
         return self._back(text, last, sizes)
 
+    def _judge(self, before: int, piece: int, character: str) -> bool:
+        """Whether a piece may follow the one before it, which may be none or an unknown character; remembered for pieces."""
+        name = self.pieces.names[piece]
+        if before < 0:
+            return self._side_by_side(character, name)
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        good = self.pairs[before * self.width + piece] = self._side_by_side("" if before == self.width - 1 else self.pieces.names[before], name)
+        return good
+
     def _side_by_side(self, left: str, right: str) -> bool:
         """Whether merging leaves these two as they are; an empty one is no piece."""
         return self._merged(left + right) == [x for x in (left, right) if x]
@@ -211,6 +219,16 @@ class Encoder(dict):
         return flat[np.repeat(at - ends + size, size) + np.arange(ends[-1])]
 
 
+_last: list[tuple[Pieces, Encoder]] = []
+
+
+def encoder_of(pieces: Pieces) -> Encoder:
+    """The encoder of the model, the same for all tasks of a Python worker, with the words and pairs it knows."""
+    if not _last or _last[0][0] != pieces:
+        _last[:] = [(pieces, Encoder(pieces))]
+    return _last[0][1]
+
+
 class Decoder:
     def __init__(self, pieces: Pieces):
         names = [bytes([int(n[3:5], 16)]) if k == 6 else b"" if k == 3 else "⁇".encode() if k == 2 else n.replace(SPACE, " ").encode() for n, k in zip(pieces.names, pieces.kinds, strict=True)]
@@ -243,7 +261,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids"
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = encoder_of(shared.value), Decoder(shared.value)
         for batch in batches:
             for begin, part in slices(batch.column("_text")):
                 found, same = [], []
