@@ -170,13 +170,6 @@ def test_lm(docs, rows, none, monkeypatch):
     assert all(g.score < 0 for g in got) and lm.score_texts(none).count() == 0
 
 
-def test_lm_sums_to_one():
-    v = lm.Vocabulary(np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64), 0, 0, np.full(lm.RARE, 0.5))
-    z = np.zeros((lm.START + 1, lm.SIDE))
-    m = lm.Model(np.full(lm.SIDE, -math.log(lm.SIDE)), z, z, np.random.default_rng(1).normal(size=(lm.ROWS, lm.SIDE)), np.zeros(0))
-    assert np.allclose(np.exp(m.classes(np.arange(9), np.arange(9))).sum(axis=1), 1) and v.total == 0
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

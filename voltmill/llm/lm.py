@@ -1,17 +1,21 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-Words are symbols: the ``WORDS`` commonest of the training documents by themselves, all others by what they begin with, in ``RARE``
-groups. Symbols of neighbouring frequency form classes. P(symbol) = P(class | features) * P(symbol | class, features), and a word of
-a rare group has besides its share of the group, (count + 0.5) over the group's sum of that and 0.5 for all unseen words together.
-The class features are the last symbol, the one before it (a skip) and both, hashed into ``ROWS`` rows; that of the symbol within
-its class is the last symbol. Every sum over words is 1, so scores of different models of one text can be compared.
-
-Training: observed feature counts come from one pass over all training documents. The model's expected counts depend on a document
-only through pairs of symbols, so each update takes them from the table of pairs, in blocks spread over the cluster, and moves every
-weight along its gradient, observed against expected, in logarithms. Scoring looks up distinct pairs of a batch at once.
-
-Word counts are exact. The ``FREQUENT`` commonest words travel as one sorted table of that size; a document's other words are
-counted by a join on their hash, which has no frequent key.
+P(word) = P(class | context) * P(word | class, last word). Frequent words of neighbouring frequency form classes; all other words
+belong to classes by what they begin with. The class features are the last word, the one before it (a skip) and both, the words as
+symbols of the contexts: the commonest by themselves, others by what they begin with, pairs hashed into rows. The feature of a word
+within its class is the n-gram of it and the last word: a word of count n has in its class the share p = (n + 0.5) / (the class's sum),
+which a weight w turns into p * exp(w) / Z, where Z = 1 + sum of p * (exp(w) - 1) over the pairs that have a weight. So only pairs
+that the corpus has twice or more cost anything, and the sum over all words is 1. A class of other words has besides its known words
+0.5 for all unseen ones together. Scores of different models of one text can thus be compared.
+
+What is gathered grows with the corpus: the word counts and the pairs' weights, one row for each different word and pair, lie in
+tables that are joined at scoring; the numbers of classes, of context symbols and of rows follow the number of different words.
+The commonest words and pairs also travel to the tasks as sorted tables of fixed size, and a Bloom filter of fixed size keeps back
+lookups of pairs that have no weight. Neither changes a score.
+
+Training is by gradient updates. The class weights are updated ``UPDATES`` times, each time from one part of the training documents:
+tasks add up observed and expected counts of every feature, and each weight moves along their difference, in logarithms. The
+weights of pairs do not touch each other beyond one last word and class, so their updates run where those pairs are.
 """
 
 from __future__ import annotations
@@ -24,20 +28,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .shared import materialise, partitions
 from .sums import table_sum
 from .tokens import _LOWER, Words, mix, slices, words
 
-SIDE = 32  # classes, and symbols of a class
-SYMBOLS = SIDE * SIDE
-RARE = 64
-WORDS = SYMBOLS - RARE
-START = SYMBOLS
-ROWS = 1 << 14
-FREQUENT = 1 << 18
+BITS = 18
+START = 1 << BITS  # stands for the word before a text's first one
+FREQUENT = START
+#: Weights of pairs that travel to the tasks.
+CARRIED = 1 << 19
 UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
-SMOOTH = 24.0  # words added to each symbol's followers in a class
+DISCOUNT = 0.6  # taken from the count of a pair
+STEPS = 6  # updates of the pairs' weights
+CHUNK = 1 << 13
 END = np.uint64(0x656E64)  # the hash of the end token
 
 
@@ -47,49 +52,105 @@ def held_out(id: str) -> Column:
 
 
 def tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, rare group, row) of every token, each row's end token last."""
+    """(hash, beginning, row) of every token, each row's end token last. A beginning is a word's first two bytes."""
     w: Words = words(part)
     h, n = w.hashes(lower=True), len(part)
     first = _LOWER[w.data[w.start]].astype(np.int64)
     second = np.where(w.end - w.start > 1, _LOWER[w.data[np.minimum(w.start + 1, max(len(w.data) - 1, 0))]], 0).astype(np.int64)
-    group = mix((first * 256 + second).astype(np.uint64)) % np.uint64(RARE)
     row = np.concatenate([w.row, np.arange(n)])
     order = np.argsort(row, kind="stable")
-    return np.concatenate([h, np.full(n, END)])[order], np.concatenate([group.astype(np.int64), np.zeros(n, np.int64)])[order], row[order]
+    return np.concatenate([h, np.full(n, END)])[order], np.concatenate([first * 256 + second, np.zeros(n, np.int64)])[order], row[order]
+
+
+def _distinct(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, position, sum of n) of the different keys."""
+    key, at, which = np.unique(key, return_index=True, return_inverse=True)
+    return key, at, np.bincount(which, n, len(key)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for _, part in slices(batch.column("text")):
-            h, group, _ = tokens(part)
+            h, begin, _ = tokens(part)
             h, at, n = np.unique(h, return_index=True, return_counts=True)
-            found.append((h, group[at].astype(np.int32), n))
+            found.append((h, begin[at].astype(np.int32), n))
         if found:
-            h, group, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            h, at, which = np.unique(h, return_index=True, return_inverse=True)
-            yield pa.record_batch([h.view(np.int64), group[at], np.bincount(which, n).astype(np.int64)], names=["hash", "rare", "n"])
+            h, begin, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, at, n = _distinct(h, n)
+            yield pa.record_batch([h.view(np.int64), begin[at], n], names=["hash", "begin", "n"])
 
 
 @dataclass
 class Vocabulary:
-    """Counts of frequent words, sorted by hash; symbol is -1 for those without one of their own."""
+    """The frequent words, sorted by hash, with their counts, classes and context symbols. ``share``: log10 of a word's share of its class.
+
+    ``own`` classes are of frequent words, ``other`` of all others by their beginning, whose sums are in ``mass``. Likewise the first
+    ``words`` context symbols, and ``groups`` by beginning; the last symbol is what lies before a text.
+    """
 
     hash: np.ndarray
     count: np.ndarray
-    symbol: np.ndarray
     total: int
     different: int
+    own: int
+    other: int
+    words: int
+    groups: int
+    cls: np.ndarray
+    symbol: np.ndarray
+    share: np.ndarray
     mass: np.ndarray
 
+    @property
+    def classes(self) -> int:
+        return self.own + self.other
+
+    @property
+    def symbols(self) -> int:
+        return self.words + self.groups + 1
+
+    @property
+    def rows(self) -> int:
+        return 1 << (4 * self.symbols).bit_length()
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, known)"""
         at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
         return at, (self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool))
 
 
+def _spread(begin: np.ndarray, n: int) -> np.ndarray:
+    return (mix(begin.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def make_vocabulary(h: np.ndarray, n: np.ndarray, total: int, different: int, others: dict[int, float]) -> Vocabulary:
+    """From the frequent words, and for each beginning the sum of n + 0.5 over the other words."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    size = np.log2(different + 2)
+    classes = 1 << max(3, round(size / 3) - 1)
+    own, other = max(1, classes * 3 // 4), max(1, classes // 4)
+    symbols = 1 << max(5, min(12, round(size / 2) + 1))
+    by_count = np.lexsort((h, -n))
+    # bands of equal sums of the roots: common words are few in a class, and no class has nearly all words
+    root = np.sqrt(n[by_count])
+    band = np.minimum(((np.cumsum(root) - root / 2) / max(root.sum(), 1e-9) * own).astype(np.int64), own - 1)
+    cls, symbol = np.zeros(len(h), np.int64), np.full(len(h), -1)
+    cls[by_count] = band
+    top = by_count[: symbols * 3 // 4]
+    symbol[top] = np.arange(len(top))
+    mass = np.zeros(own + other)
+    mass[own:] = 0.5
+    np.add.at(mass, cls, n + 0.5)
+    for begin, sum_ in others.items():
+        mass[own + _spread(np.array([begin]), other)[0]] += sum_
+    share = np.log10((n + 0.5) / mass[cls]) if len(h) else np.zeros(0)
+    return Vocabulary(h, n, total, different, own, other, symbols * 3 // 4, symbols // 4, cls.astype(np.int32), symbol.astype(np.int32), share, np.maximum(mass, 0.5))
+
+
 def _vocabulary(counts: DataFrame) -> Vocabulary:
-    """From (hash, rare, n). The driver receives FREQUENT words at most, and sums."""
+    """From (hash, begin, n). The driver receives FREQUENT words at most, and sums by count and by beginning."""
     bin = F.floor(F.log2("n") * 16).cast("int")
     bins = counts.groupBy(bin.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("bin")).collect()
     least, sum_ = None, 0
@@ -98,158 +159,285 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
         if sum_ > FREQUENT:
             break
         least = b.bin
-    rows = counts.where(bin >= least).select("hash", "rare", "n").toPandas() if least is not None else counts.limit(0).toPandas()
-    h = rows["hash"].to_numpy(np.int64).view(np.uint64)
-    n, rare = rows["n"].to_numpy(np.int64), rows["rare"].to_numpy(np.int64)
-    top = np.lexsort((h, -n))[:WORDS]
-    symbol = np.full(len(h), -1)
-    symbol[top] = np.arange(len(top))
-    mass = np.full(RARE, 0.5)
-    for r in counts.groupBy("rare").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
-        mass[r.rare] += r.mass
-    np.subtract.at(mass, rare[top], n[top] + 0.5)
-    order = np.argsort(h)
-    return Vocabulary(h[order], n[order], symbol[order], int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), np.maximum(mass, 0.5))
+    frequent = bin >= least if least is not None else F.lit(False)
+    rows = counts.where(frequent).select("hash", "n").toPandas()
+    rest = counts.where(~frequent).groupBy("begin").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect()
+    return make_vocabulary(rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), {r.begin: r.mass for r in rest})
 
 
-def _symbols(vocabulary: Vocabulary, h: np.ndarray, group: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, last, before, position, known) of every token."""
-    at, known = vocabulary.look_up(h)
-    own = vocabulary.symbol[at] if len(vocabulary.hash) else np.full(len(h), -1)
-    symbol = np.where(known & (own >= 0), own, WORDS + group)
-    last, before = np.full(len(h), START), np.full(len(h), START)
-    same = row[1:] == row[:-1]
-    last[1:][same] = symbol[:-1][same]
-    same = row[2:] == row[:-2]
-    before[2:][same] = symbol[:-2][same]
-    return symbol, last, before, at, known
+def _encode(vocabulary):
+    """Texts as numbers: a frequent word is its position, another one the complement of its beginning, and its hash goes into ``rare``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        v, next_row = vocabulary.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for begin, part in slices(batch.column("text")):
+                n = len(part)
+                h, beginning, row = tokens(part)
+                at, known = v.look_up(h)
+                word = np.where(known, at, -1 - beginning).astype(np.int32)
+                packed = []
+                for x, of in ((word, row), (h[~known], row[~known])):
+                    ends = np.searchsorted(of, np.arange(n + 1))
+                    packed.append(pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+                yield pa.record_batch([batch.column("id").slice(begin, n), batch.column("held_out").slice(begin, n), pa.array(np.arange(next_row, next_row + n)), *packed], names=["id", "held_out", "row", "words", "rare"])
+                next_row += n
 
-def _row(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (mix((before * (START + 1) + last).astype(np.uint64)) % np.uint64(ROWS)).astype(np.int64)
+    return run
 
 
-_NEXT, _SKIP, _BOTH, _PAIRS = (START + 1) * SYMBOLS, (START + 1) * SIDE, ROWS * SIDE, (START + 1) ** 2
+def _numbers(part: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(number, row) of the packed numbers of each row."""
+    part = part.cast(pa.large_binary())
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+    data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(part) and part.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), kind), np.repeat(np.arange(len(part)), np.diff(offsets) // size)
 
 
-def _observe(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table = np.zeros(_NEXT + _SKIP + _BOTH + _PAIRS)
-        parts = np.split(table, np.cumsum([_NEXT, _SKIP, _BOTH]))
-        for batch in batches:
-            for _, text in slices(batch.column("text")):
-                symbol, last, before = _symbols(vocabulary.value, *tokens(text))[:3]
-                owner = symbol // SIDE
-                for part, at in zip(parts, (last * SYMBOLS + symbol, before * SIDE + owner, _row(before, last) * SIDE + owner, before * (START + 1) + last), strict=True):
-                    part += np.bincount(at, minlength=len(part))
-        return table
+@dataclass
+class Tokens:
+    """Of every token: its class, the context symbols of the two tokens before it, its position (negative if it is not frequent) and
+    ``after``: the last token's position, START before the first token, -1 if that is not frequent."""
 
-    return run
+    word: np.ndarray
+    row: np.ndarray
+    cls: np.ndarray
+    last: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def read_tokens(v: Vocabulary, part: pa.Array) -> Tokens:
+    word, row = _numbers(part, np.int32)
+    word = word.astype(np.int64)
+    known = word >= 0
+    symbol, cls = np.full(len(word), -1), np.zeros(len(word), np.int64)
+    symbol[known], cls[known] = v.symbol[word[known]], v.cls[word[known]]
+    begin = -1 - word[~known]
+    cls[~known] = v.own + _spread(begin, v.other)
+    beginning = np.zeros(len(word), np.int64)
+    beginning[~known] = begin
+    # frequent words without a symbol of their own share those of the groups by their position
+    beginning[known] = word[known]
+    symbol = np.where(symbol >= 0, symbol, v.words + _spread(beginning, v.groups))
+    start = v.symbols - 1
+    last, before, after = np.full(len(word), start), np.full(len(word), start), np.full(len(word), START)
+    same = row[1:] == row[:-1]
+    last[1:][same] = symbol[:-1][same]
+    after[1:][same] = np.where(word >= 0, word, -1)[:-1][same]
+    same = row[2:] == row[:-2]
+    before[2:][same] = symbol[:-2][same]
+    return Tokens(word, row, cls, last, before, after)
 
 
 @dataclass
 class Model:
-    """Logarithms: ``prior`` of classes, weights of the features ``last``, ``skip`` and ``both``, and ``within``: of each symbol after each, in its class."""
+    """Weights of the class features, by class: ``prior``, ``last`` and ``skip`` by context symbol, ``both`` by row; single precision."""
 
     prior: np.ndarray
     last: np.ndarray
     skip: np.ndarray
     both: np.ndarray
-    within: np.ndarray
 
-    def small(self) -> Model:
-        """What the class probabilities need, in single precision."""
-        return Model(*(x.astype(np.float32) for x in (self.prior, self.last, self.skip, self.both)), np.zeros(0))
+    def pair_row(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (mix((before * len(self.last) + last).astype(np.uint64)) & np.uint64(len(self.both) - 1)).astype(np.int64)
 
     def classes(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Log probabilities of the classes after each pair."""
-        z = self.prior + self.last[last] + self.skip[before] + self.both[_row(before, last)]
+        z = self.prior + self.last[last] + self.skip[before] + self.both[self.pair_row(before, last)]
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _expect(model):
-    """Expected counts of the class features from rows (before, pairs): how often each symbol came after that one."""
+def _sum_rows(table: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+    table[at[order][first]] += np.add.reduceat(x[order], first, axis=0)
+
+
+def _gradient(vocabulary, model):
+    """Observed and expected counts of every class feature, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(2 * _SKIP + _BOTH)
-        last_, skip_, both_ = (x.reshape(-1, SIDE) for x in np.split(out, np.cumsum([_SKIP, _SKIP])))
+        v, m = vocabulary.value, model.value
+        c, sizes = v.classes, (len(m.last), len(m.skip), len(m.both))
+        out = np.zeros(2 * sum(sizes) * c)
+        tables = [x.reshape(-1, c) for x in np.split(out, np.cumsum([s * c for s in (*sizes, *sizes)])[:-1])]
         for batch in batches:
-            for before, pairs in zip(batch.column("before").to_pylist(), batch.column("pairs"), strict=True):
-                n = np.frombuffer(pairs.as_buffer(), np.float64)
-                last = np.flatnonzero(n)
-                b = np.full(len(last), before)
-                p = np.exp(model.value.classes(b, last)) * n[last, None]
-                last_[last] += p
-                skip_[before] += p.sum(axis=0)
-                np.add.at(both_, _row(b, last), p)
+            for _, part in slices(batch.column("words")):
+                t = read_tokens(v, part)
+                if not len(t.word):
+                    continue
+                for table, at in zip(tables[:3], (t.last, t.before, m.pair_row(t.before, t.last)), strict=True):
+                    cell = at * c + t.cls
+                    cell, n = np.unique(cell, return_counts=True)
+                    table.reshape(-1)[cell] += n
+                pair, n = np.unique(t.before * len(m.last) + t.last, return_counts=True)
+                for a in range(0, len(pair), CHUNK):
+                    before, last = np.divmod(pair[a : a + CHUNK], len(m.last))
+                    p = np.exp(m.classes(before, last)) * n[a : a + CHUNK, None].astype(np.float32)
+                    for table, at in zip(tables[3:], (last, before, m.pair_row(before, last)), strict=True):
+                        _sum_rows(table, at, p)
         return out
 
     return run
 
 
-def _train(train: DataFrame, vocabulary: Vocabulary) -> Model:
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    table = table_sum(train, _NEXT + _SKIP + _BOTH + _PAIRS, _observe(shared))
-    shared.destroy()
-    nexts, skip, both, pairs = np.split(table, np.cumsum([_NEXT, _SKIP, _BOTH]))
-    nexts, skip, both, pairs = nexts.reshape(-1, SIDE, SIDE), skip.reshape(-1, SIDE), both.reshape(-1, SIDE), pairs.reshape(START + 1, -1)
-    exists = np.arange(SYMBOLS) < min(WORDS, int((vocabulary.symbol >= 0).sum()))
-    exists[WORDS:] = True
-    single = ((nexts.sum(axis=0).ravel() + 0.5) * exists).reshape(SIDE, SIDE)
-    of_class = single.sum(axis=1)
-    share = single / np.maximum(of_class, 1e-300)[:, None]
-    after = nexts.sum(axis=2)
-    with np.errstate(divide="ignore"):
-        within = np.log((nexts + SMOOTH * share) / (after + SMOOTH)[:, :, None]).reshape(START + 1, SYMBOLS)
-        prior = np.log(of_class / of_class.sum())
-    model = Model(prior, np.zeros_like(skip), np.zeros_like(skip), np.zeros_like(both), within)
-    held = np.flatnonzero(pairs.any(axis=1))
-    blocks = spark.createDataFrame([(int(b), pairs[b].tobytes()) for b in held], "before int, pairs binary").repartition(min(partitions(spark), 64)) if len(held) else None
+def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
+    """From encoded documents with a column ``part``."""
+    spark, c = train.sparkSession, v.classes
+    of_class = np.maximum(v.mass, 0.5)
+    prior = np.log(of_class / of_class.sum())
+    tables = [np.zeros((n, c)) for n in (v.symbols, v.symbols, v.rows)]
+    single = lambda: Model(prior.astype(np.float32), *(x.astype(np.float32) for x in tables))
     base = np.exp(prior)
-    for _ in range(UPDATES if blocks is not None else 0):
-        now = spark.sparkContext.broadcast(model.small())
-        expected = table_sum(blocks, 2 * _SKIP + _BOTH, _expect(now))
+    for update in range(UPDATES):
+        now = spark.sparkContext.broadcast(single())
+        size = sum(x.size for x in tables)
+        both = table_sum(train.where(F.col("part") == update).select("words"), 2 * size, _gradient(shared, now))
         now.destroy()  # a broadcast's files stay with every executor until then
-        e_last, e_skip, e_both = (x.reshape(-1, SIDE) for x in np.split(expected, np.cumsum([_SKIP, _SKIP])))
-        for weight, o, e, step in ((model.last, after, e_last, 0.5), (model.skip, skip, e_skip, 0.4), (model.both, both, e_both, 0.5)):
+        at = np.cumsum([0, *(x.size for x in tables)])
+        for k, (weight, step) in enumerate(zip(tables, (0.5, 0.4, 0.5), strict=True)):
+            o, e = (both[s + at[k] : s + at[k + 1]].reshape(weight.shape) for s in (0, size))
             pull = PULL * base + 1e-9
             weight += step * np.log((o + pull) / (e + pull))
-    return Model(*(x.astype(np.float32) for x in (model.prior, model.last, model.skip, model.both, model.within)))
+    return single()
 
 
-def _score(vocabulary, model):
+def _pairs(vocabulary):
+    """Counts of the n-grams of two frequent words, or of a text's start and one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for batch in batches:
+            found = []
+            for _, part in slices(batch.column("words")):
+                t = read_tokens(vocabulary.value, part)
+                both = (t.word >= 0) & (t.after >= 0)
+                found.append(np.unique((t.after[both] << BITS) | t.word[both], return_counts=True))
+            if found:
+                key, _, n = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pa.record_batch([pa.array(key >> BITS), pa.array(key & (START - 1)), pa.array(n)], names=["after", "word", "n"])
 
-        v, m = vocabulary.value, model.value
-        next_row = TaskContext.get().partitionId() << 33
+    return run
+
+
+def pair_key(after: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a pair's weight, or with START + class for a word that of the class's normaliser; spread over 64 bits."""
+    return mix((after.astype(np.uint64) << np.uint64(BITS + 1)) | word.astype(np.uint64))
+
+
+def fit_pairs(v: Vocabulary, after: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, weight, n) of pairs and normalisers, in log10, from all pairs of some last words."""
+    order = np.lexsort((word, v.cls[word], after))
+    after, word, n = after[order], word[order], n[order].astype(np.float64)
+    cls = v.cls[word].astype(np.int64)
+    group = np.cumsum(np.r_[False, (after[1:] != after[:-1]) | (cls[1:] != cls[:-1])]) if len(after) else np.zeros(0, np.int64)
+    total = np.bincount(group, n)
+    p = 10 ** v.share[word]
+    own = n >= 2
+    w = np.zeros(len(n))
+    target = np.maximum(n - DISCOUNT, 0.0)
+    z = np.ones(len(total))
+    for _ in range(STEPS):
+        expected = total[group] * p * np.exp(w) / z[group]
+        w = np.where(own, w + np.log((target + 1e-6) / (expected + 1e-6)), 0.0)
+        z = np.maximum(1 + np.bincount(group, p * np.expm1(w), len(total)), 1e-12)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    some = np.bincount(group, own, len(total)) > 0
+    first = first[some]
+    keys = np.concatenate([pair_key(after[own], word[own]), pair_key(after[first], START + cls[first])])
+    return keys, np.concatenate([w[own], -np.log(z[some])]) / np.log(10), np.concatenate([n[own], total[some]]).astype(np.int64)
+
+
+def _fit(vocabulary):
+    """Rows come in order of the last word; a last word's pairs are worked on together, FREQUENT at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))
+
+        def done(x):
+            key, weight, n = fit_pairs(vocabulary.value, *x)
+            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(weight), pa.array(n)], names=["key", "weight", "n"])
+
+        for batch in batches:
+            if len(batch):
+                held = tuple(np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, ("after", "word", "n"), strict=True))
+                whole = int(np.searchsorted(held[0], held[0][-1]))
+                if whole:
+                    yield done(tuple(x[:whole] for x in held))
+                    held = tuple(x[whole:] for x in held)
+        if len(held[0]):
+            yield done(held)
+
+    return run
+
+
+@dataclass
+class Carried:
+    """Weights of the commonest pairs, sorted by key, and the filter of all others."""
+
+    key: np.ndarray
+    weight: np.ndarray
+    rest: np.ndarray
+
+
+def _carried(weights: DataFrame) -> Carried:
+    bin = F.floor(F.log2("n") * 16).cast("int")
+    bins = weights.groupBy(bin.alias("bin")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("bin")).collect()
+    least, sum_ = None, 0
+    for b in bins:
+        if sum_ + b.rows > CARRIED:
+            break
+        sum_, least = sum_ + b.rows, b.bin
+    common = bin >= least if least is not None else F.lit(False)
+    rows = weights.where(common).select("key", "weight").toPandas()
+    key = rows["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return Carried(key[order], rows["weight"].to_numpy(np.float64)[order].astype(np.float32), bloom.build(weights.where(~common).select("key"), int(sum(b.rows for b in bins)) - sum_))
+
+
+def _score(vocabulary, model, carried):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m, top = vocabulary.value, model.value, carried.value
         z = np.log10(v.total + 0.5 * (v.different + 1))
-        log_mass = np.log10(v.mass)
+        unseen = np.log10(0.5)
+        log_count, log_mass = np.log10(v.count + 0.5), np.log10(v.mass)
         for batch in batches:
-            for begin, part in slices(batch.column("text")):
+            for begin, part in slices(batch.column("words")):
                 n = len(part)
-                h, group, row = tokens(part)
-                symbol, last, before, at, known = _symbols(v, h, group, row)
-                pair, which = np.unique(before * (START + 1) + last, return_inverse=True)
-                classes = m.classes(pair // (START + 1), pair % (START + 1))
-                log10 = (classes[which, symbol // SIDE] + m.within[last, symbol]) / np.log(10)
-                log_count = np.where(known, np.log10((v.count[at] if len(v.count) else 0) + 0.5), 0.0)
-                rare = symbol >= WORDS
-                total = lambda x: np.bincount(row, x, n)
-                score = total(log10 + np.where(rare, log_count - log_mass[group], 0))
-                left = np.flatnonzero(~known)
-                key = row[left].astype(np.uint64) ^ mix(h[left])  # one number for each word of a row, near enough to sort by
-                order = left[np.lexsort((key, row[left]))]
-                new = np.r_[True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])] if len(order) else np.zeros(0, bool)
-                at_new = np.flatnonzero(new)
-                times = np.diff(np.r_[at_new, len(order)])
-                offsets = np.searchsorted(row[order][at_new], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (h[order][at_new].view(np.int64), times.astype(np.int32))]
-                columns = [np.arange(next_row, next_row + n), np.bincount(row, minlength=n), total(known).astype(np.int64), total(log_count - z), score]
-                next_row += n
-                yield pa.record_batch([batch.column("id").slice(begin, n), batch.column("held_out").slice(begin, n), *map(pa.array, columns), *lists], names=["id", "held_out", "row", "n_tokens", "n_known", "base", "score", "words", "times"])
+                t = read_tokens(v, part)
+                known, row = t.word >= 0, t.row
+                total = lambda x, of=row: np.bincount(of, x, n)
+                base, score = np.full(len(row), unseen), unseen - log_mass[t.cls]
+                base[known], score[known] = log_count[t.word[known]], v.share[t.word[known]]
+                pair, which = np.unique(t.before * len(m.last) + t.last, return_inverse=True)
+                order = np.argsort(which, kind="stable")
+                edges = np.searchsorted(which[order], np.arange(0, len(pair) + CHUNK, CHUNK))
+                for a, (low, high) in zip(range(0, len(pair), CHUNK), zip(edges[:-1], edges[1:], strict=True), strict=False):
+                    classes = m.classes(*np.divmod(pair[a : a + CHUNK], len(m.last)))
+                    at = order[low:high]
+                    score[at] += classes[which[at] - a, t.cls[at]] / np.log(10)
+                both = np.flatnonzero(known & (t.after >= 0))
+                keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[both], START + t.cls[both])])
+                of = np.concatenate([both, both])
+                at = np.minimum(np.searchsorted(top.key, keys), max(len(top.key) - 1, 0))
+                here = top.key[at] == keys if len(top.key) else np.zeros(len(keys), bool)
+                sums = total(score) + np.bincount(row[of[here]], top.weight[at[here]].astype(np.float64), n)
+                asked = ~here
+                asked[asked] = bloom.test(top.rest, keys[asked])
+                rare, rare_row = _numbers(batch.column("rare").slice(begin, n), np.uint64)
+                keys, rows = np.concatenate([keys[asked], rare]), np.concatenate([row[of[asked]], rare_row])
+                order = np.lexsort((keys, rows))
+                keys, rows = keys[order], rows[order]
+                first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])][: len(keys)])
+                times = np.diff(np.r_[first, len(keys)])
+                offsets = np.searchsorted(rows[first], np.arange(n + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (keys[first].view(np.int64), times.astype(np.int32))]
+                columns = [np.bincount(row, minlength=n), total(known).astype(np.int64), total(base - z), sums]
+                yield pa.record_batch([*(batch.column(c).slice(begin, n) for c in ("id", "held_out", "row")), *map(pa.array, columns), *lists], names=["id", "held_out", "row", "n_tokens", "n_known", "base", "score", "keys", "times"])
 
     return run
 
@@ -263,20 +451,29 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     the base score is 0. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(id).alias("held_out"))
-    train = plain.where(~F.col("held_out")).select("text")
-    counts = materialise(train.mapInArrow(_count, "hash long, rare int, n long").groupBy("hash").agg(F.min("rare").alias("rare"), F.sum("n").alias("n")))
-    vocabulary = _vocabulary(counts)
-    model = _train(train, vocabulary)
     share = spark.sparkContext.broadcast
+    plain = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(id).alias("held_out"))
+    counts = materialise(plain.where(~F.col("held_out")).select("text").mapInArrow(_count, "hash long, begin int, n long").groupBy("hash").agg(F.min("begin").alias("begin"), F.sum("n").alias("n")))
+    v = _vocabulary(counts)
+    shared = share(v)
     kind = docs.select(id).schema[0].dataType.simpleString()
-    scored = materialise(plain.mapInArrow(_score(share(vocabulary), share(model)), f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>"))
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("hash"), F.col("w.times").alias("times"))
-    counted = rest.join(counts.select("hash", "n"), "hash", "left")
-    more = counted.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    joined = scored.drop("words", "times").join(more, "row", "left")
-    extra = F.coalesce("more", F.lit(0.0))
+    coded = materialise(plain.mapInArrow(_encode(shared), f"id {kind}, held_out boolean, row long, words binary, rare binary"))
+    train = coded.where(~F.col("held_out")).select("words", F.pmod(F.xxhash64("row"), F.lit(UPDATES)).alias("part"))
+    model = share(_train_classes(train, shared, v))
+    pairs = train.select("words").mapInArrow(_pairs(shared), "after long, word long, n long").groupBy("after", "word").agg(F.sum("n").alias("n"))
+    fitted = pairs.repartition(partitions(spark), "after").sortWithinPartitions("after").mapInArrow(_fit(shared), "key long, weight double, n long")
+    weights = materialise(fitted)
+    carried = share(_carried(weights))
+    scored = materialise(coded.mapInArrow(_score(shared, model, carried), f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>"))
+    asked = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    # a word counted lifts its score from that of an unseen one; a pair's weight has no part in the base score
+    lifted = counts.select(F.col("hash").alias("key"), (F.log10(F.col("n") + 0.5) - float(np.log10(0.5))).alias("base"), F.lit(1).alias("known"))
+    table = lifted.withColumn("weight", F.col("base")).unionByName(weights.select("key", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "weight"))
+    times = F.col("times")
+    more = asked.join(table, "key").groupBy("row").agg(F.sum(times * F.col("base")).alias("more_base"), F.sum(times * F.col("weight")).alias("more"), F.sum(times * F.col("known")).alias("more_known"))
+    joined = scored.drop("keys", "times").join(more, "row", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return joined.select(
-        F.col("id").alias(id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"),
+        F.col("id").alias(id), "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"),
+        F.lit(v.total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more").alias("score"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import partitions
 
@@ -47,8 +48,10 @@ def table_sum(docs: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBat
         if pieces:
             yield _rows(pieces, TaskContext.get().partitionId() // fan)
 
-    n = partitions(docs.sparkSession)
-    sums = docs.mapInArrow(run, _SCHEMA).repartition(n, "salt", "piece").mapInArrow(_add, _SCHEMA).repartition(n, "piece").mapInArrow(_add, _SCHEMA)
+    n, pieces = partitions(docs.sparkSession), -(-size // _PIECE)
+    # dealt by number, as a few hundred pieces would hash unevenly
+    fanned = docs.mapInArrow(run, _SCHEMA).repartitionById(n, F.pmod(F.col("salt") * pieces + F.col("piece"), F.lit(n)).cast("int")).mapInArrow(_add, _SCHEMA)
+    sums = fanned.repartitionById(n, F.pmod("piece", F.lit(n)).cast("int")).mapInArrow(_add, _SCHEMA)
     out = np.zeros(size)
     for row in sums.collect():
         x = _unpack(bytes(row.sums), row.size)
