@@ -5,9 +5,9 @@ two fingerprints that differ in d bits have tables that differ by d at most in e
 difference anywhere is discarded unseen, and the survivors are verified bit by bit. Which tables meet at all is settled by blocks:
 of four blocks of 16 bits at least two are equal in any pair with two differing bits, so pairs meet under one of six keys.
 
-A key with more than ``LARGE`` fingerprints is not compared pair by pair. Each of its fingerprints names instead itself and its 64
-neighbours at one bit; two fingerprints within two bits name a common one, and two that name a common one are within two bits.
-That is exact too, and linear in the size of the group.
+A key whose group has more than ``LARGE`` fingerprints is cut further in the same way: of the 32 bits that the key leaves free, in
+eight blocks of four, at least six are equal in any such pair, so its fingerprints meet under 28 finer keys. Those leave eight bits
+free, so at most 256 fingerprints meet under one, however the data lie. Every group, cut or not, goes through the pivot tables.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ DISTANCE = 2
 BLOCKS = 4
 PIVOTS = 24
 LARGE = 4096
+FINE = 8
 SEED = 42
 _CHUNK = 1 << 16
 
@@ -130,23 +131,33 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
 
 
+def _masks() -> tuple[list[int], list[list[int]]]:
+    """The bits of each key, and those of each key's finer keys; signed."""
+    bits = 64 // BLOCKS
+    fine = bits * DISTANCE // FINE
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    coarse, finer = [], []
+    for kept in combinations(range(BLOCKS), BLOCKS - DISTANCE):
+        key = sum(((1 << bits) - 1) << (bits * k) for k in kept)
+        starts = [bits * k + fine * j for k in range(BLOCKS) if k not in kept for j in range(bits // fine)]
+        coarse.append(signed(key))
+        finer.append([signed(key + sum(((1 << fine) - 1) << s for s in some)) for some in combinations(starts, FINE - DISTANCE)])
+    return coarse, finer
+
+
 def links(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of different ``fp`` within two bits."""
-    bits = 64 // BLOCKS
-    keys = [sum(((1 << bits) - 1) << (bits * k) for k in kept) for kept in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
-    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
+    coarse, finer = _masks()
+    keys = lambda masks: F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
     tables = materialise(fps.mapInArrow(_tables, "fp long, pivots binary"))
-    keyed = tables.select("fp", "pivots", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(k)) for k in signed))).alias("k", "key"))
+    keyed = tables.select("fp", "pivots", F.posexplode(keys(coarse)).alias("k", "key"))
     sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(keyed.join(sizes, ["k", "key"]))
-    small = met.where(F.col("n") <= large).groupBy("k", "key").agg(F.collect_list("fp").alias("fps"), F.collect_list("pivots").alias("tables"))
-    stars = small.select("fps", "tables").mapInArrow(_link, "a long, b long")
-    ball = F.array(F.lit(0).cast("long"), *(F.lit((1 << j) - ((1 << 64) if j == 63 else 0)).cast("long") for j in range(64)))
-    near = met.where(F.col("n") > large).select("fp").distinct().select("fp", F.explode(ball).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    # at most 65 fingerprints name one key
-    least = near.groupBy("key").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    balls = least.select(F.explode("all").alias("a"), "b").where("a <> b")
-    return stars.unionByName(balls)
+    small = met.where(F.col("n") <= large).select("k", "key", "fp", "pivots")
+    cut = F.element_at(F.array(*map(keys, finer)), F.col("k") + 1)
+    sub = met.where(F.col("n") > large).select("k", "fp", "pivots", F.posexplode(cut).alias("f", "key")).select((F.col("k") * len(finer[0]) + F.col("f") + len(coarse)).alias("k"), "key", "fp", "pivots")
+    groups = small.unionByName(sub).groupBy("k", "key").agg(F.collect_list("fp").alias("fps"), F.collect_list("pivots").alias("tables")).where(F.size("fps") > 1)
+    return groups.select("fps", "tables").mapInArrow(_link, "a long, b long")
 
 
 def _named(prints: DataFrame) -> DataFrame:
@@ -171,13 +182,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """The row with the least id of each component of ``near_duplicates``, with all its columns.
 
-    Null ids come last. Of rows with that id and the least fingerprint among them one stays, whichever.
+    Null ids come last. Of rows with that id and the least fingerprint among them one stays, whichever. Rows are named by number, and
+    only the numbers of the kept ones are joined back, so a large group's texts stay where they are.
     """
-    whole = docs.withColumnRenamed("fp", "_own_fp").withColumn("_text", F.col(text))
-    printed = materialise(fingerprints(whole, "_text", width).withColumnRenamed("fp", "_fp").withColumnRenamed("_own_fp", "fp"))
-    prints = printed.select(F.col(id).alias("id"), F.col("_fp").alias("fp"))
-    named = _named(prints)
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first"))
-    kept = first.select(F.col("first.least").alias("_least"), F.col("first.fp").alias("_fp"))
-    joined = printed.join(kept, "_fp").where(F.col(id).eqNullSafe(F.col("_least")))
-    return joined.dropDuplicates(["_fp"]).select(*docs.columns)
+    held = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    prints = materialise(fingerprints(held.select("_row", F.col(id).alias("id"), F.col(text).alias("text")), "text", width))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "_row")).alias("first")
+    of_print = materialise(prints.groupBy("fp").agg(first))
+    roots = components(links(of_print.select("fp"))).withColumnRenamed("node", "fp")
+    kept = of_print.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return held.join(kept.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
