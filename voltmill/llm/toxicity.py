@@ -1,10 +1,12 @@
 """Toxicity: a learned lexicon, met exactly or misspelled, weighed by whether its terms are quoted or meant.
 
-The lexicon is learned from labelled documents: words, and stems that many toxic words begin with. A trie holds it; the
+The lexicon is learned from labelled documents: words of any length, and stems that many toxic words begin with; every term with
+enough support is in it, so it is as large as the labelled documents make it. A trie holds it; the
 Levenshtein automaton of every term at once is the trie's nodes paired with the errors made so far. Sets of such pairs are the
 states of one deterministic automaton, made as words need them, so a word is read once, letter by letter, and most are dead after
-three. What a word is found to be is remembered while a task lasts, up to a bound. Around each hit a window of words tells
-quotation (quotation marks, words of reporting) from abuse. A logistic regression turns the counts into a score.
+three. What a word is found to be, and the states, are remembered while a task lasts, up to a bound. Around each hit a window of
+words tells quotation from abuse: quotation marks, words of reporting, and cues that the labels show, words that stand near hits of
+documents nearly none of which is toxic. A logistic regression turns the counts into a score.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from .shared import materialise
 FIT_ROWS = 20_000
 #: A term must be in so many toxic documents of the fit, which must be this share of all documents that have it.
 LEAST_TOXIC, LEAST_SHARE = 4, 0.9
-#: The lexicon has at most so many terms, those in the most toxic documents.
-TERMS = 2000
 STEM = range(4, 9)
+STATES = 100_000
 WINDOW = 6
 CACHE = 200_000
+#: A cue of quotation is near hits of so many labelled documents, of which so few are toxic.
+LEAST_CUES, CUE_SHARE = 8, 0.1
 # fixed values: marks and words of quotation and reporting, in the corpus' languages
 MARKS = "\"“”„«»‘’"
 REPORTING = frozenset("said says wrote writes called quote quoted quotes term word insult slur dit mot terme insulte sagte schrieb wort begriff dijo escribió palabra término insulto".split())
@@ -67,6 +70,11 @@ class Automaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node] = (allowed, stem or self.ends.get(node, (0, False))[1])
+        self.reset()
+
+    def reset(self) -> None:
+        """Forgets the states; they are made anew as words need them."""
+        self.states, self.sets, self.steps, self.found, self.met = {}, [], [], [], []
         self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -98,6 +106,8 @@ class Automaton:
 
     def errors(self, word: str) -> int:
         """The least errors with which the word is a term or begins with a stem; 9 if it is none."""
+        if len(self.sets) > STATES:
+            self.reset()
         state, best = 0, 9
         for c in word:
             state = self._step_at(state, c)
@@ -114,8 +124,8 @@ class Automaton:
 class Reader:
     """Counts FEATURES of texts; remembers words up to ``CACHE``."""
 
-    def __init__(self, terms: tuple[str, ...]):
-        self.automaton, self.known = Automaton(terms), {}
+    def __init__(self, terms: tuple[str, ...], cues: frozenset[str] = frozenset()):
+        self.automaton, self.known, self.cues = Automaton(terms), {}, REPORTING | cues
 
     def _word(self, token: str) -> int:
         if len(self.known) >= CACHE:
@@ -123,25 +133,38 @@ class Reader:
         self.known[token] = errors = self.automaton.errors(token.lower().strip(EDGE))
         return errors
 
-    def features(self, text: str) -> list[int]:
-        tokens, known, out = text.split(), self.known, [0, 0, 0, 0]
+    def _hits(self, tokens: list[str]) -> Iterator[tuple[int, int]]:
+        """(position, errors) of the tokens that are terms."""
+        known = self.known
         for i, token in enumerate(tokens):
             errors = known.get(token)
             if errors is None:
                 errors = self._word(token)
             if errors < 9:
-                around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-                quoted = any(c in x for x in around for c in MARKS) or any(x.lower().strip(EDGE) in REPORTING for x in around)
-                out[2 * (errors > 0) + quoted] += 1
+                yield i, errors
+
+    def features(self, text: str) -> list[int]:
+        tokens, out = text.split(), [0, 0, 0, 0]
+        for i, errors in self._hits(tokens):
+            around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
+            quoted = any(c in x for x in around for c in MARKS) or any(x.lower().strip(EDGE) in self.cues for x in around)
+            out[2 * (errors > 0) + quoted] += 1
         return out
 
+    def beside(self, text: str) -> set[str]:
+        """The words within the windows of the text's hits that are no hits themselves."""
+        tokens = text.split()
+        hits = {i for i, _ in self._hits(tokens)}
+        near = {j for i in hits for j in range(max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1))}
+        return {w for j in near - hits if (w := tokens[j].lower().strip(EDGE))}
+
 
 def _beginnings(text: str) -> set[str]:
     """The words of a text, marked by a final full stop, and their stems."""
     out = set()
     for token in set(text.split()):
         word = token.lower().strip(EDGE)
-        if 4 <= len(word) <= 40:
+        if word:
             out.add(word + ".")
             out.update(word[:n] for n in STEM if n <= len(word))
     return out
@@ -160,9 +183,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicon(fit: DataFrame) -> tuple[str, ...]:
     """Terms from (text, toxic): words and stems nearly only toxic documents have. A stem gives way to one longer term that is in
-    nearly all of its documents, and a term to a stem that covers it."""
+    nearly all of its documents, and a term to a stem that covers it. The driver receives terms of ``LEAST_TOXIC`` documents of the
+    fit or more, and the fit is bounded."""
     counts = fit.mapInArrow(_tally, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    good = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("toxic"), "term").limit(5 * TERMS)
+    good = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
     found = {r.term: r.toxic for r in good.collect()}
     by_start: dict[str, list[str]] = {}
     for t in found:
@@ -171,10 +195,29 @@ def learn_lexicon(fit: DataFrame) -> tuple[str, ...]:
     kept = {t for t in found if not any(u != t and len(u) > len(t) and found[u] >= 0.9 * found[t] for u in by_start.get(t, ()) if not t.endswith("."))}
     stems = {t for t in kept if not t.endswith(".")}
     covered = lambda t: any(t.rstrip(".")[:n] in stems for n in STEM if n < len(t.rstrip(".")) + t.endswith("."))
-    terms = sorted((t for t in kept if not covered(t)), key=lambda t: (-found[t], t))[:TERMS]
+    terms = sorted((t for t in kept if not covered(t)), key=lambda t: (-found[t], t))
     return tuple(t[:-1] if t.endswith(".") else t + "*" for t in terms)
 
 
+def learn_cues(fit: DataFrame, terms: tuple[str, ...]) -> frozenset[str]:
+    """Words from (text, toxic) that stand near hits of ``LEAST_CUES`` documents or more, of which at most ``CUE_SHARE`` are toxic, where
+    toxic documents have hits as often as others; a word is no cue merely because few documents are toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(terms)
+        for batch in batches:
+            every, toxic = Counter(), Counter()
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                own = reader.beside(text.as_py() or "")
+                every.update(own)
+                if label:
+                    toxic.update(own)
+            yield pa.record_batch([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[x] for x in every], pa.int64())], names=["term", "n", "toxic"])
+
+    counts = fit.mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return frozenset(r.term for r in counts.where((F.col("n") >= LEAST_CUES) & (F.col("toxic") <= CUE_SHARE * F.col("n"))).select("term").collect())
+
+
 def _terms(meant, quoted, misspelled, misspelled_quoted) -> list:
     """What the regression weighs: all hits, quoted ones by half, then what sets the other kinds apart from those that are meant.
     A kind that the labels say nothing of keeps the weight of all hits."""
@@ -204,11 +247,11 @@ def held_out(id: str) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _counted(terms, keep: list[str]):
-    """Reads the column ``_text``; terms: a tuple or a broadcast of one."""
+def _counted(lexicon, keep: list[str]):
+    """Reads the column ``_text``; lexicon: (terms, cues) or a broadcast of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(terms if isinstance(terms, tuple) else terms.value)
+        reader = Reader(*(lexicon if isinstance(lexicon, tuple) else lexicon.value))
         for batch in batches:
             counts = [reader.features(x.as_py() or "") for x in batch.column("_text")]
             found = [pa.array(x, pa.int64()) for x in (zip(*counts, strict=True) if counts else [[]] * len(FEATURES))]
@@ -229,17 +272,18 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     chosen = materialise(usable.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows))
     fit = materialise(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_text", "toxic"))
     terms = learn_lexicon(fit.withColumnRenamed("_text", "text"))
+    lexicon = (terms, learn_cues(fit.withColumnRenamed("_text", "text"), terms) if terms else frozenset())
     kinds = ", ".join(f"{f} long" for f in FEATURES)
     weight = None
     if terms:
-        seen = np.array([tuple(r) for r in fit.mapInArrow(_counted(terms, ["toxic"]), f"toxic int, {kinds}").groupBy("toxic", *FEATURES).count().collect()], np.float64)
+        seen = np.array([tuple(r) for r in fit.mapInArrow(_counted(lexicon, ["toxic"]), f"toxic int, {kinds}").groupBy("toxic", *FEATURES).count().collect()], np.float64)
         n = seen[:, -1].astype(int)
         if 0 < (seen[:, 0] * n).sum() < n.sum():
             weight = _logistic(np.repeat(_matrix(seen[:, 1:-1]), n, 0), np.repeat(seen[:, 0], n))
     own = {*FEATURES, "held_out", "score", "predicted", "_text"}
     keep = [c for c in docs.columns if c not in own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    counted = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_counted(spark.sparkContext.broadcast(terms), keep), f"{schema}, {kinds}")
+    counted = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(_counted(spark.sparkContext.broadcast(lexicon), keep), f"{schema}, {kinds}")
     score = F.lit(0.0)
     if weight is not None:
         z = F.lit(float(weight[0]))
