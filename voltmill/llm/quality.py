@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .sums import table_sum
 from .tokens import Words, mix, slices, words
 
@@ -57,26 +59,36 @@ def measures(part: pa.Array, w: Words) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Features of all rows, then those of trusted rows."""
-    table = np.zeros(2 * BUCKETS)
+    table = np.zeros(BUCKETS)
     for batch in batches:
-        trusted = batch.column("trusted").to_numpy(zero_copy_only=False)
-        for begin, part in slices(batch.column("text")):
-            row, bucket = features(words(part))
-            table[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-            table[BUCKETS:] += np.bincount(bucket[trusted[row + begin]], minlength=BUCKETS)
+        for _, part in slices(batch.column("text")):
+            table += np.bincount(features(words(part))[1], minlength=BUCKETS)
     return table
 
 
+def _may_be_in(ids: DataFrame) -> Column:
+    """A test of the string ``_id`` that all of ``ids`` pass and few others. Only a hash of the id goes to Python."""
+    keys = ids.select(F.xxhash64("_id").alias("key"))
+    shared = ids.sparkSession.sparkContext.broadcast(bloom.build(keys, ids.count()))
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        return pd.Series(bloom.test(shared.value, key.to_numpy(np.int64).view(np.uint64)))
+
+    return test(F.xxhash64("_id"))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
     """For each bucket the log of its share in trusted documents over its share in all. Both counts cover every document.
 
     ``trusted``: ids of the trusted documents; nulls and repeats in it change nothing. Without any trusted document the ratios are 0.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True)).hint("merge")  # one plan at every size
-    marked = docs.select(F.col(id).alias("_id"), F.col(text).alias("text")).join(ids, "_id", "left").select("text", F.coalesce("_in", F.lit(False)).alias("trusted"))
-    table = table_sum(marked, 2 * BUCKETS, _count)
-    raw, target = table[:BUCKETS], table[BUCKETS:]
+    ids = trusted.select(F.col(trusted.columns[0]).cast("string").alias("_id")).where("_id is not null").distinct()
+    raw = table_sum(docs.select(F.col(text).alias("text")), BUCKETS, _count)
+    named = docs.select(F.col(id).cast("string").alias("_id"), F.col(text).alias("text")).where("_id is not null")
+    # only texts whose id may be trusted are moved to where it is known
+    found = named.where(_may_be_in(ids)).join(ids.hint("merge"), "_id", "left_semi")  # one plan at every size
+    target = table_sum(found.select("text"), BUCKETS, _count)
     if not target.sum():
         return np.zeros(BUCKETS)
     share = (raw + 0.5) / (raw + 0.5).sum()
