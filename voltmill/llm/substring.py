@@ -4,7 +4,8 @@ A set of residues is a difference cover of a period when any two positions have
 brings both onto it. So of any two equal windows of ``width`` words, two equal shorter windows ("anchors", of
 ``width - period + 1`` words) start at covered positions, and only those positions, a quarter of all, are hashed and compared in
 the first pass. In the second pass every window of full width that holds a repeated anchor is hashed and compared: the extension.
-A window counts as repeated when the hash of its whole word sequence occurs twice.
+A window counts as repeated when the hash of its whole word sequence occurs twice, 128 bits in two independent halves. An anchor has
+one of 64 bits, as one that is repeated by chance only lets its windows be compared.
 
 Hashes travel packed, in one row for each Arrow batch and bucket, with the places they come from. A batch sends one copy of each
 hash; places that it already knows to be repeated go past the comparison, spread by text. So a passage that occurs in a third of
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions
-from .tokens import slices, window_hashes, words
+from .tokens import mix, slices, window_hashes, words
 
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 _PACKED = "bucket int, hashes binary, k1 binary, k2 binary, runs binary, at binary"
 _PLACES = "k1 long, k2 long, places binary"
 
@@ -39,11 +41,9 @@ def text_key(text: str = "text") -> list:
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2")]
 
 
-def _pack(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, row: np.ndarray, at: np.ndarray, buckets: int, narrow: bool) -> pa.RecordBatch:
-    """Rows for the exchange: places row/at with hash h. Repeats within h are sent on as known, without a hash."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
+def _pack(h: np.ndarray, more: np.ndarray | None, k1: np.ndarray, k2: np.ndarray, row: np.ndarray, at: np.ndarray, buckets: int, narrow: bool) -> pa.RecordBatch:
+    """Rows for the exchange: places row/at with hash h, and its other half ``more`` where there is one. Repeats within h are sent on as known, without a hash."""
+    order, same = _twins(h, more)
     again = np.zeros(len(h), bool)
     again[order[1:][same]] = True
     known = again.copy()
@@ -61,12 +61,22 @@ def _pack(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, row: np.ndarray, at: np
             r = row[p]
             runs = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True])
             own = r[runs[:-1]]
-            sent = b"" if kind else ((h[p] // np.uint64(buckets)).astype(np.uint32) if narrow else h[p]).tobytes()
+            sent = b"" if kind else ((h[p] // np.uint64(buckets)).astype(np.uint32).tobytes() if narrow else h[p].tobytes() + more[p].tobytes())
             for out, x in zip(rows, (int(bucket[a]), sent, k1[own].tobytes(), k2[own].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), at[p].astype(np.uint32).tobytes()), strict=True):
                 out.append(x)
     return pa.record_batch([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "hashes", "k1", "k2", "runs", "at"])
 
 
+def _twins(h: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the hashes, and whether each equals the one before it there."""
+    order = np.argsort(h, kind="stable") if more is None else np.lexsort((more, h))
+    s = h[order]
+    same = s[1:] == s[:-1]
+    if more is not None:
+        same &= more[order][1:] == more[order][:-1]
+    return order, same
+
+
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k1", "k2"))
 
@@ -89,7 +99,7 @@ def _anchors(width: int, period: int, cover: tuple[int, ...], buckets: int):
                     out.append(x)
             if found[0]:
                 h, row, at = map(np.concatenate, found)
-                yield _pack(h, k1, k2, row, at, buckets, narrow=True)
+                yield _pack(h, None, k1, k2, row, at, buckets, narrow=True)
 
     return emit
 
@@ -101,7 +111,7 @@ def _windows(width: int, period: int, buckets: int):
         for batch in batches:
             k1, k2 = _keys(batch)
             places = batch.column("places")
-            found = [[], [], []]
+            found = [[], [], [], []]
             for begin, part in slices(batch.column("text")):
                 w = words(part)
                 open_at = np.zeros(len(w.start) + 1, np.int64)
@@ -113,11 +123,13 @@ def _windows(width: int, period: int, buckets: int):
                     np.add.at(open_at, high[some] + w.first[r], -1)
                 start = np.flatnonzero(np.cumsum(open_at)[:-1] > 0)
                 row = w.row[start]
-                for out, x in zip(found, (window_hashes(w.hashes(), start, width), row + begin, start - w.first[row]), strict=True):
+                hashes = w.hashes()
+                halves = (window_hashes(hashes, start, width), window_hashes(mix(hashes + _OTHER), start, width))
+                for out, x in zip(found, (*halves, row + begin, start - w.first[row]), strict=True):
                     out.append(x)
             if found[0]:
-                h, row, at = map(np.concatenate, found)
-                yield _pack(h, k1, k2, row, at, buckets, narrow=False)
+                h, more, row, at = map(np.concatenate, found)
+                yield _pack(h, more, k1, k2, row, at, buckets, narrow=False)
 
     return emit
 
@@ -131,21 +143,22 @@ def _find(buckets: int, narrow: bool):
     """Of one bucket's places those whose hash comes twice, and those that are known to be repeated; packed again, by text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, known = [], [], []
+        hashes, others, rows, known = [], [], [], []
         for batch in batches:
             for x in batch.to_pylist():
                 if x["hashes"]:
                     # narrow hashes are the quotient by the number of buckets, so they compare within a bucket only
-                    h = np.frombuffer(x["hashes"], np.uint32).astype(np.uint64) | (np.uint64(x["bucket"]) << np.uint64(32)) if narrow else np.frombuffer(x["hashes"], np.uint64)
-                    hashes.append(h)
+                    if narrow:
+                        hashes.append(np.frombuffer(x["hashes"], np.uint32).astype(np.uint64) | (np.uint64(x["bucket"]) << np.uint64(32)))
+                    else:
+                        for out, half in zip((hashes, others), np.frombuffer(x["hashes"], np.uint64).reshape(2, -1), strict=True):
+                            out.append(half)
                     rows.append(_unpack(x))
                 else:
                     known.append(_unpack(x))
         if hashes:
             h = np.concatenate(hashes)
-            order = np.argsort(h)
-            s = h[order]
-            same = s[1:] == s[:-1]
+            order, same = _twins(h, None if narrow else np.concatenate(others))
             twice = np.zeros(len(h), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
