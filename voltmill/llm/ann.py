@@ -164,16 +164,22 @@ def _seed(shared, k: int):
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", probed: float = PROBED) -> DataFrame:
     """(query_id, rank, id, score): for each row that ``queries`` picks the k nearest others found, by cosine, ties to the smaller id.
 
-    Ids are whole numbers and name one row each; a row with a null id, or a vector that is not ``usable`` or not of the commonest
-    length, takes no part. Fewer candidates than k give fewer rows, no vectors none. Other columns are not read.
+    Ids are whole numbers and name one row each; a row with a null id, or a vector that is not ``usable``, takes no part. Vectors of
+    different lengths have no cosine, so each length is searched by itself. Fewer candidates than k give fewer rows, no vectors none.
+    Other columns are not read.
     """
     spark = vectors.sparkSession
     clean = vectors.where(usable(vector) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asked"))
     clean = materialise(clean)
-    lengths = clean.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], f"query_id long, rank int, `{id}` long, score double")
-    clean, n = clean.where(F.size("vec") == lengths.d), lengths["count"]
+    found = spark.createDataFrame([], f"query_id long, rank int, `{id}` long, score double")
+    for r in clean.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect():  # one row for each length in use
+        found = found.unionByName(_nearest(clean.where(F.size("vec") == r.d), r["count"], k, id, probed))
+    return found
+
+
+def _nearest(clean: DataFrame, n: int, k: int, id: str, probed: float) -> DataFrame:
+    """``nearest`` among the n vectors (id, vec, asked) of one length."""
+    spark = clean.sparkSession
     copies = Window.partitionBy("vec").orderBy("id")
     base = materialise(clean.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("id", "vec"))
     asked = clean.where("asked")
