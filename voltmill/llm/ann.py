@@ -7,7 +7,8 @@ the query's limit by more than ``1 + EPSILON / sqrt(m)``. The limit is the k-th
 best are candidates like any other, before a list is read; then from the block of the list at hand. What is left is scored exactly, on the original vectors.
 
 Centroids are fitted on ``SAMPLE`` vectors at most, those with the least hash of their id; every vector is put into a list. Lists
-are read in blocks of about ``BLOCK`` vectors against blocks of about ``BLOCK`` queries, however long they are. Of equal vectors
+are dealt to groups of about ``BLOCK`` vectors, larger ones cut into blocks, and a query goes to a group once, with the numbers of
+the lists it probes there; a task reads one block against about ``BLOCK`` queries, however many there are. Of equal vectors
 the k + 1 with the least ids are searched, as no more of them can be among k results, and equal queries are asked once.
 """
 
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, partitions
 
 SAMPLE = 16384
 LISTS = 1024
 #: Share of all lists that a query probes.
 PROBED = 0.65
 EPSILON = 2.1
-BLOCK = 512
+#: Vectors of the sample that give each query its first limit.
+SEEDS = 2048
+BLOCK = 4096
 COLUMNS = 16
 SEED = 42
 
@@ -101,29 +104,35 @@ def _best(k: int):
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if len(left) and len(right):
-            x, ids = _array(left.column("vec").combine_chunks()), left.column("id").to_numpy()
+            x, ids, own = _array(left.column("vec").combine_chunks()), left.column("id").to_numpy(), left.column("list").to_numpy()
             q, qids = _array(right.column("vec").combine_chunks()), right.column("qid").to_numpy()
             if x.shape[1] not in turn:
                 turn[x.shape[1]] = rotation(x.shape[1])
             r = turn[x.shape[1]]
             ux, uq = _unit(x) @ r, _unit(q) @ r
             limit = right.column("limit").to_numpy().astype(np.float32)
-            for a in range(0, len(q), 64):
-                i, j = scan(uq[a : a + 64], ux, limit[a : a + 64], k)
-                score = cosine(q[i + a], x[j])
-                order = np.lexsort((ids[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
-                top = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
-                for o, v in zip(out, (qids[i[top] + a], ids[j[top]], score[top]), strict=True):
-                    o.append(v)
+            probed = right.column("lists").combine_chunks()
+            of, listed = np.repeat(np.arange(len(q)), probed.value_lengths().to_numpy()), probed.flatten().to_numpy()
+            for each in np.unique(own):
+                at, asking = np.flatnonzero(own == each), of[listed == each]
+                for a in range(0, len(asking), 64):
+                    some = asking[a : a + 64]
+                    i, j = scan(uq[some], ux[at], limit[some], k)
+                    i, j = some[i], at[j]
+                    score = cosine(q[i], x[j])
+                    order = np.lexsort((ids[j], -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+                    top = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+                    for o, v in zip(out, (qids[i[top]], ids[j[top]], score[top]), strict=True):
+                        o.append(v)
         return pa.table({n: pa.array(np.concatenate(o) if o else np.zeros(0), t) for n, o, t in zip(("qid", "id", "score"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
     return best
 
 
-def _assign(shared, probes: int | None, k: int):
-    """Vectors to their nearest list; with ``probes``, queries to their nearest lists, with the limit that the sample gives."""
+def _assign(shared, probes: int | None, k: int, groups: int):
+    """Vectors to their nearest list; with ``probes``, queries to the groups of their nearest lists, with the limit that the sample gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sample = shared.value[:2]
@@ -138,8 +147,14 @@ def _assign(shared, probes: int | None, k: int):
                 lists = np.argpartition(-near, probes - 1, axis=1)[:, :probes].astype(np.int32)
                 # one more than k, as the query itself may be in the sample
                 kth = np.partition(-(u @ sample.T), k, axis=1)[:, k] if len(sample) > k else np.full(len(u), 1.0)
-                rows = np.repeat(np.arange(len(u)), probes)
-                yield pa.record_batch([pa.array(lists.ravel()), part.column("qid").take(pa.array(rows)), pa.array((2 + 2 * kth.astype(np.float64))[rows]), part.column("vec").take(pa.array(rows))], names=["list", "qid", "limit", "vec"])
+                lists = np.sort(lists, axis=1)
+                group = lists % groups
+                order = np.lexsort((lists.ravel(), group.ravel(), np.repeat(np.arange(len(u)), probes)))
+                rows, group, lists = np.repeat(np.arange(len(u)), probes)[order], group.ravel()[order], lists.ravel()[order]
+                first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])])
+                packed = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists.astype(np.int32)))
+                at = pa.array(rows[first])
+                yield pa.record_batch([pa.array(group[first].astype(np.int32)), packed, part.column("qid").take(at), pa.array((2 + 2 * kth.astype(np.float64))[rows[first]]), part.column("vec").take(at)], names=["group", "lists", "qid", "limit", "vec"])
 
     return run
 
@@ -186,19 +201,21 @@ def _nearest(clean: DataFrame, n: int, k: int, id: str, probed: float) -> DataFr
     pool = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < max(1, int(min(1.0, 2 * SAMPLE / n) * (1 << 40)))) if n > 2 * SAMPLE else base
     drawn = pool.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     whole = np.array([r.vec for r in drawn], np.float64)
-    sample, few = _unit(whole), 4 * BLOCK
+    sample, few = _unit(whole), SEEDS
     lists = int(max(1, min(LISTS, len(sample) // 16, n**0.5)))
     probes = max(1, min(lists, round(probed * lists)))
     shared = spark.sparkContext.broadcast((centroids(sample, lists), sample[:few], whole[:few], np.array([r.id for r in drawn[:few]], np.int64)))
     kind = base.schema["vec"].dataType.simpleString()
-    placed = materialise(base.mapInArrow(_assign(shared, None, k), f"list int, id long, vec {kind}"))
+    # as many groups as blocks, or as tasks that may run while there are lists enough
+    groups = int(max(1, min(lists, max(-(-n // BLOCK), partitions(spark)))))
+    placed = materialise(base.mapInArrow(_assign(shared, None, k, groups), f"list int, id long, vec {kind}").withColumn("group", F.col("list") % groups))
     singles = materialise(asked.groupBy("vec").agg(F.min("id").alias("qid")).select("qid", "vec"))
-    probing = materialise(singles.mapInArrow(_assign(shared, probes, k + 1), f"list int, qid long, limit double, vec {kind}"))
-    count = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    grid = F.broadcast(count(placed, "blocks").join(F.broadcast(count(probing, "rounds")), "list"))  # LISTS rows at most
-    left = placed.join(grid, "list").select("list", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), "id", "vec")
-    right = probing.join(grid, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("qid"), "rounds").cast("int").alias("round"), "qid", "limit", "vec")
-    keys = ("list", "block", "round")
+    probing = materialise(singles.mapInArrow(_assign(shared, probes, k + 1, groups), f"group int, lists array<int>, qid long, limit double, vec {kind}"))
+    count = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = F.broadcast(count(placed, "blocks").join(F.broadcast(count(probing, "rounds")), "group"))  # LISTS rows at most
+    left = placed.join(grid, "group").select("group", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), "list", "id", "vec")
+    right = probing.join(grid, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("qid"), "rounds").cast("int").alias("round"), "lists", "qid", "limit", "vec")
+    keys = ("group", "block", "round")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k + 1), "qid long, id long, score double")
     found = found.unionByName(singles.mapInArrow(_seed(shared, k + 1), "qid long, id long, score double")).groupBy("qid", "id").agg(F.max("score").alias("score"))
     line = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
