@@ -35,8 +35,9 @@ def parts(spark, docs):
     coded = materialise(plain.mapInArrow(lm._encode(shared), "id long, held_out boolean, row long, words binary, rare binary"))
     train = coded.where(~F.col("held_out")).select("words", F.pmod(F.xxhash64("row"), F.lit(lm.UPDATES)).alias("part"))
     model = lm._train_classes(train, shared, v)
-    pairs = train.select("words").mapInArrow(lm._pairs(shared), "after long, word long, n long").groupBy("after", "word").agg(F.sum("n").alias("n")).toPandas()
-    key, weight, _ = lm.fit_pairs(v, *(pairs[c].to_numpy(np.int64) for c in ("after", "word", "n")))
+    pairs = train.select("words").mapInArrow(lm._pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    at = pairs["key"].to_numpy(np.int64)
+    key, weight, _ = lm.fit_pairs(v, at >> (lm.BITS + 1), at & (lm.START - 1), pairs["n"].to_numpy(np.int64))
     number = {int(h) % 2**64: n for h, n in counts.select("hash", "n").collect()}
     return v, model, dict(zip(key.tolist(), weight.tolist(), strict=True)), number, coded
 

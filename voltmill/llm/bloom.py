@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of 64 bits: 32 MB.
-WORDS = 1 << 22
+#: Words of 64 bits: 16 MB.
+WORDS = 1 << 21
 
 
 def places(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,9 +26,9 @@ def build(keys: DataFrame, n: int) -> np.ndarray:
     key, mask = F.col(keys.columns[0]), F.lit(64 * size - 1).cast("long")
     at = F.explode(F.array(key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))).alias("at")
     one = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    rows = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()  # WORDS rows at most
+    rows = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # WORDS rows at most
     table = np.zeros(size, np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return table
 
 

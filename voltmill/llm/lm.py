@@ -37,7 +37,7 @@ BITS = 18
 START = 1 << BITS  # stands for the word before a text's first one
 FREQUENT = START
 #: Weights of pairs that travel to the tasks.
-CARRIED = 1 << 19
+CARRIED = 1 << 18
 UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
 DISCOUNT = 0.6  # taken from the count of a pair
@@ -160,9 +160,9 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = b.bin
     frequent = bin >= least if least is not None else F.lit(False)
-    rows = counts.where(frequent).select("hash", "n").toPandas()
+    rows = counts.where(frequent).select("hash", "n").toArrow()
     rest = counts.where(~frequent).groupBy("begin").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect()
-    return make_vocabulary(rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), {r.begin: r.mass for r in rest})
+    return make_vocabulary(rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy(), int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), {r.begin: r.mass for r in rest})
 
 
 def _encode(vocabulary):
@@ -291,7 +291,7 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
     spark, c = train.sparkSession, v.classes
     of_class = np.maximum(v.mass, 0.5)
     prior = np.log(of_class / of_class.sum())
-    tables = [np.zeros((n, c)) for n in (v.symbols, v.symbols, v.rows)]
+    tables = [np.zeros((n, c), np.float32) for n in (v.symbols, v.symbols, v.rows)]
     single = lambda: Model(prior.astype(np.float32), *(x.astype(np.float32) for x in tables))
     base = np.exp(prior)
     for update in range(UPDATES):
@@ -302,13 +302,18 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
         at = np.cumsum([0, *(x.size for x in tables)])
         for k, (weight, step) in enumerate(zip(tables, (0.5, 0.4, 0.5), strict=True)):
             o, e = (both[s + at[k] : s + at[k + 1]].reshape(weight.shape) for s in (0, size))
-            pull = PULL * base + 1e-9
-            weight += step * np.log((o + pull) / (e + pull))
+            for x in (o, e):
+                x += PULL * base + 1e-9
+                np.log(x, out=x)
+            o -= e
+            o *= step
+            weight += o
+        del both
     return single()
 
 
 def _pairs(vocabulary):
-    """Counts of the n-grams of two frequent words, or of a text's start and one."""
+    """Counts of the n-grams of two frequent words, or of a text's start and one; key: the last word's position, then the word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,10 +321,34 @@ def _pairs(vocabulary):
             for _, part in slices(batch.column("words")):
                 t = read_tokens(vocabulary.value, part)
                 both = (t.word >= 0) & (t.after >= 0)
-                found.append(np.unique((t.after[both] << BITS) | t.word[both], return_counts=True))
+                found.append(np.unique((t.after[both] << (BITS + 1)) | t.word[both], return_counts=True))
             if found:
                 key, _, n = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                yield pa.record_batch([pa.array(key >> BITS), pa.array(key & (START - 1)), pa.array(n)], names=["after", "word", "n"])
+                yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    return run
+
+
+def _fold(vocabulary):
+    """Pairs that came once have no weight; they are sent on as their number for each last word and class, START + class in place of a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, once, held = vocabulary.value.cls.astype(np.int64), [], 0
+        out = lambda key, n: pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
+        folded = lambda: out(*_distinct(*(np.concatenate(x) for x in zip(*once, strict=True)))[::2])
+        for batch in batches:
+            key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
+            single = n == 1
+            if (~single).any():
+                yield out(key[~single], n[~single])
+            word = key[single] & (START - 1)
+            once.append(((key[single] >> (BITS + 1) << (BITS + 1)) | (START + cls[word]), n[single]))
+            held += len(word)
+            if held > 1 << 20:
+                yield folded()
+                once, held = [], 0
+        if held:
+            yield folded()
 
     return run
 
@@ -330,14 +359,16 @@ def pair_key(after: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def fit_pairs(v: Vocabulary, after: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, weight, n) of pairs and normalisers, in log10, from all pairs of some last words."""
-    order = np.lexsort((word, v.cls[word], after))
-    after, word, n = after[order], word[order], n[order].astype(np.float64)
-    cls = v.cls[word].astype(np.int64)
+    """(key, weight, n) of pairs and normalisers, in log10, from all pairs of some last words. A word of START + class stands for pairs of
+    that class without a weight."""
+    real = word < START
+    cls = np.where(real, v.cls[np.where(real, word, 0)] if len(v.cls) else 0, word - START).astype(np.int64)
+    order = np.lexsort((word, cls, after))
+    after, word, n, cls, real = after[order], word[order], n[order].astype(np.float64), cls[order], real[order]
     group = np.cumsum(np.r_[False, (after[1:] != after[:-1]) | (cls[1:] != cls[:-1])]) if len(after) else np.zeros(0, np.int64)
     total = np.bincount(group, n)
-    p = 10 ** v.share[word]
-    own = n >= 2
+    p = np.where(real, 10 ** v.share[np.where(real, word, 0)] if len(v.share) else 0.0, 0.0)
+    own = real & (n >= 2)
     w = np.zeros(len(n))
     target = np.maximum(n - DISCOUNT, 0.0)
     z = np.ones(len(total))
@@ -353,24 +384,24 @@ def fit_pairs(v: Vocabulary, after: np.ndarray, word: np.ndarray, n: np.ndarray)
 
 
 def _fit(vocabulary):
-    """Rows come in order of the last word; a last word's pairs are worked on together, FREQUENT at most."""
+    """Rows come in order of the key; a last word's pairs are worked on together, FREQUENT and a few for each class at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.zeros(0, np.int64) for _ in range(3))
+        held = tuple(np.zeros(0, np.int64) for _ in range(2))
 
-        def done(x):
-            key, weight, n = fit_pairs(vocabulary.value, *x)
+        def done(key, n):
+            key, weight, n = fit_pairs(vocabulary.value, key >> (BITS + 1), key & (2 * START - 1), n)
             return pa.record_batch([pa.array(key.view(np.int64)), pa.array(weight), pa.array(n)], names=["key", "weight", "n"])
 
         for batch in batches:
             if len(batch):
-                held = tuple(np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, ("after", "word", "n"), strict=True))
-                whole = int(np.searchsorted(held[0], held[0][-1]))
-                if whole:
-                    yield done(tuple(x[:whole] for x in held))
+                held = tuple(np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, ("key", "n"), strict=True))
+                whole = int(np.searchsorted(held[0], held[0][-1] >> (BITS + 1) << (BITS + 1)))
+                if whole > 1 << 17:
+                    yield done(*(x[:whole] for x in held))
                     held = tuple(x[whole:] for x in held)
         if len(held[0]):
-            yield done(held)
+            yield done(*held)
 
     return run
 
@@ -393,10 +424,10 @@ def _carried(weights: DataFrame) -> Carried:
             break
         sum_, least = sum_ + b.rows, b.bin
     common = bin >= least if least is not None else F.lit(False)
-    rows = weights.where(common).select("key", "weight").toPandas()
-    key = rows["key"].to_numpy(np.int64).view(np.uint64)
+    rows = weights.where(common).select("key", F.col("weight").cast("float").alias("weight")).toArrow()
+    key = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return Carried(key[order], rows["weight"].to_numpy(np.float64)[order].astype(np.float32), bloom.build(weights.where(~common).select("key"), int(sum(b.rows for b in bins)) - sum_))
+    return Carried(key[order], rows["weight"].to_numpy()[order], bloom.build(weights.where(~common).select("key"), int(sum(b.rows for b in bins)) - sum_))
 
 
 def _score(vocabulary, model, carried):
@@ -460,8 +491,9 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     coded = materialise(plain.mapInArrow(_encode(shared), f"id {kind}, held_out boolean, row long, words binary, rare binary"))
     train = coded.where(~F.col("held_out")).select("words", F.pmod(F.xxhash64("row"), F.lit(UPDATES)).alias("part"))
     model = share(_train_classes(train, shared, v))
-    pairs = train.select("words").mapInArrow(_pairs(shared), "after long, word long, n long").groupBy("after", "word").agg(F.sum("n").alias("n"))
-    fitted = pairs.repartition(partitions(spark), "after").sortWithinPartitions("after").mapInArrow(_fit(shared), "key long, weight double, n long")
+    pairs = train.select("words").mapInArrow(_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    folded = pairs.mapInArrow(_fold(shared), "key long, n long").repartition(partitions(spark), F.shiftright("key", BITS + 1))
+    fitted = folded.sortWithinPartitions("key").mapInArrow(_fit(shared), "key long, weight double, n long")
     weights = materialise(fitted)
     carried = share(_carried(weights))
     scored = materialise(coded.mapInArrow(_score(shared, model, carried), f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>"))
