@@ -20,7 +20,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id: str = "doc_id", text:
     give no rows; where one text is longer than a shard's part, the shards that it covers alone stay empty.
 
     Rows are dealt by range of id, ties by a row number, so no partition outgrows the others. Only one row for each partition and
-    one for each shard is broadcast. The text is read once, in the first scan, and not shuffled.
+    one for each shard is broadcast. Texts are read twice, for the bounds of the ranges and for the sizes, and not shuffled.
     """
     line = Window.orderBy("part")
     within = Window.partitionBy("part").orderBy("id", "text_crc32", "size", "tie")
@@ -55,8 +55,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id: str = "doc_id", text: str = "text") -> None:
-    """Writes every row into one folder for each shard, each sorted by slot within its files. Rows are matched by id and text; a repeated row goes where its first copy does."""
-    place = shard_by_bytes(docs, shards, id, text).groupBy(F.col(id).alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    keyed = docs.drop("shard", "slot").withColumns({"_crc_": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), "_size_": F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES})
-    joined = keyed.join(place, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_crc_") == F.col("_crc")) & (F.col("_size_") == F.col("_size")))
-    joined.drop("_id", "_crc", "_size", "_crc_", "_size_").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes every row into one folder for each shard, each sorted by slot within its files, without the columns shard and slot it may have.
+
+    Rows are matched by id, size and checksum; rows equal in these take their places one by one, so as many go into each shard as it has
+    slots for them.
+    """
+    same = [F.col(id).alias("_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"), (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("_size")]
+    keys = ["_id", "_crc", "_size"]
+    place = shard_by_bytes(docs, shards, id, text).select(F.col(id).alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    place = place.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("_shard", "_slot")))
+    keyed = docs.drop("shard", "slot").select("*", *same).withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    p, k = place.alias("p"), keyed.alias("k")
+    on = F.col("k._copy") == F.col("p._copy")
+    for c in keys:
+        on = on & F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}"))
+    kept = [F.col(f"k.{c}") for c in docs.columns if c not in ("shard", "slot")]
+    joined = k.join(p, on).select(*kept, F.col("p._shard").alias("shard"), F.col("p._slot").alias("slot"))
+    joined.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
