@@ -34,7 +34,7 @@ def test_band_pass_keeps_the_middle_and_stops_the_rest():
 def test_peaks():
     x = np.array([0, 1, 3, 1, 2, 2, 0, 5, 4, 6, 0.0])
     assert kernels.find_peaks(x, 1).tolist() == [2, 4, 7, 9]
-    assert kernels.find_peaks(x, 1, distance=3).tolist() == [2, 9] or kernels.find_peaks(x, 1, distance=3).tolist() == [2, 4, 9][:2] + [9][:1]
+    assert kernels.find_peaks(x, 1, distance=3).tolist() == [2, 9]
 
 
 def test_greedy_match_gets_overlapping_events_back():

@@ -171,7 +171,7 @@ def test_fit_finds_every_event_once(spark, signal):
 def test_snippets(spark, signal):
     x, path, _, truth = signal
     spikes = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(truth)] + [(999, 2)], "event_id long, t long")
-    found = {r.event_id: np.array(r.waveform) for r in recording.snippets(chunks_of(spark, path), spikes, 10, 10).collect()}
+    found = {r.event_id: np.array(r.waveform) for r in recording.snippets(chunks_of(spark, path), spikes, 10, 10, 500).collect()}
     assert set(found) == set(range(len(truth)))
     assert all(np.allclose(found[i], x[t - 10 : t + 11].T.ravel()) for i, (_, t) in enumerate(truth))
 

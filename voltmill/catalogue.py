@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import trains, waveforms
+from .plans import curation, kernels, trains, waveforms
 
-QUERIES = {**trains.QUERIES, **waveforms.QUERIES}
-ORACLES = {**trains.ORACLES, **waveforms.ORACLES}
+QUERIES = {**trains.QUERIES, **waveforms.QUERIES, **curation.QUERIES, **kernels.QUERIES}
+ORACLES = {**trains.ORACLES, **waveforms.ORACLES, **curation.ORACLES, **kernels.ORACLES}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import materialise
+
 
 def band(a: DataFrame, b: DataFrame, on: list[str], tolerance: int, strict: bool = True) -> DataFrame:
     """Pairs with |a.t - b.t| under ``tolerance`` (or equal to it, if not ``strict``): columns of a as they are, those of b as b_*."""
@@ -37,19 +39,58 @@ def nearest(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return both.withColumn("before", F.max("_b").over(up)).withColumn("after", F.min("_b").over(down)).where("_mine").drop("_b", "_mine")
 
 
-def as_of(events: DataFrame, starts: DataFrame, name: str) -> DataFrame:
-    """``events`` with the last of ``starts`` (t, name) at or before each, null before the first. ``starts`` is few rows: streams of a recording."""
-    line = Window.orderBy("t")
-    spans = starts.select(F.col("t").alias("_from"), name, F.lead("t").over(line).alias("_to"))
-    return events.join(F.broadcast(spans), (F.col("t") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("t") < F.col("_to"))), "left").drop("_from", "_to")
+def as_of(events: DataFrame, starts: DataFrame, name: str, width: int) -> DataFrame:
+    """``events`` with the last of ``starts`` (t, name) at or before each, null before the first.
+
+    Each start is listed under every bucket of ``width`` until the next one, so that events find theirs by equality on the bucket.
+    """
+    line = Window.orderBy("t")  # one row for each stream
+    last = events.agg(F.max("t").alias("_last"))
+    spans = starts.select(F.col("t").alias("_from"), name, F.lead("t").over(line).alias("_to")).crossJoin(F.broadcast(last))  # one row
+    until = F.greatest(F.col("_from"), F.coalesce(F.col("_to") - 1, F.col("_last"), F.col("_from")))
+    listed = spans.select("_from", "_to", name, F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(until / width))).alias("_bucket"))
+    keyed = events.withColumn("_bucket", F.floor(F.col("t") / width))
+    s = listed.alias("s")
+    on = (keyed["_bucket"] == F.col("s._bucket")) & (keyed["t"] >= F.col("s._from")) & (F.col("s._to").isNull() | (keyed["t"] < F.col("s._to")))
+    return keyed.join(s, on, "left").drop(F.col("s._bucket")).drop("_from", "_to", "_bucket")
 
 
-def coalesce_intervals(zones: DataFrame) -> DataFrame:
-    """(start, stop): half-open intervals with those that touch or overlap merged."""
-    reach = F.max("stop").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
-    new = zones.where(F.col("stop") > F.col("start")).withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    grouped = new.withColumn("g", F.sum("new").over(Window.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("start", "stop")
+def coalesce_intervals(zones: DataFrame, width: int) -> DataFrame:
+    """(start, stop): half-open intervals with those that touch or overlap merged.
+
+    Zones are put in order within buckets of ``width`` by their start. What a bucket needs to know of all earlier ones is how far
+    they reach and where the last merged zone began; both are running maxima over one row for each bucket.
+    """
+    keyed = zones.where(F.col("stop") > F.col("start")).select("start", "stop", F.floor(F.col("start") / width).alias("_bucket"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("_bucket").orderBy("start", "stop")
+    reach = keyed.groupBy("_bucket").agg(F.max("stop").alias("_far")).select("_bucket", F.max("_far").over(earlier).alias("_reach"))
+    own = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    marked = keyed.join(reach, "_bucket").withColumn("_own", own)
+    so_far = F.greatest("_reach", "_own")
+    first = marked.withColumn("_first", F.when(so_far.isNull() | (F.col("start") > so_far), F.col("start"))).drop("_reach", "_own")
+    began = first.groupBy("_bucket").agg(F.max("_first").alias("_f")).select("_bucket", F.max("_f").over(earlier).alias("_began"))
+    run = F.max("_first").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = first.withColumn("_run", run).join(began, "_bucket").withColumn("_group", F.coalesce("_run", "_began"))
+    return grouped.groupBy("_group").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("start", "stop")
+
+
+def neighbours(events: DataFrame, by: list[str], order: list[str], fields: list[str], width: int) -> DataFrame:
+    """``events`` with ``before`` and ``after``: structs of ``fields`` of the previous and the next event of the same key, null at the ends.
+
+    A key's events are put in order within buckets of ``width`` of the first of ``order``; the neighbours across a border come from
+    one row for each key and bucket, its first and last event.
+    """
+    cell = [*by, "_bucket"]
+    keyed = events.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    whole = F.struct(*order, F.struct(*fields).alias("_f"))
+    ends = keyed.groupBy(*cell).agg(F.min(whole).alias("_first"), F.max(whole).alias("_last"))
+    cells = Window.partitionBy(*by).orderBy("_bucket")
+    ends = ends.select(*cell, F.lag("_last").over(cells)["_f"].alias("_left"), F.lead("_first").over(cells)["_f"].alias("_right"))
+    line = Window.partitionBy(*cell).orderBy(*order)
+    own = keyed.withColumn("_before", F.lag(F.struct(*fields)).over(line)).withColumn("_after", F.lead(F.struct(*fields)).over(line))
+    joined = own.join(ends, cell)
+    return joined.withColumn("before", F.coalesce("_before", "_left")).withColumn("after", F.coalesce("_after", "_right")).drop("_before", "_after", "_left", "_right", "_bucket")
 
 
 def outside(events: DataFrame, zones: DataFrame, width: int) -> DataFrame:
@@ -66,3 +107,31 @@ def around(events: DataFrame, triggers: DataFrame, before: int, after: int) -> D
     keyed = events.withColumn("_bucket", F.floor(F.col("t") / width))
     wide = triggers.select(*(F.col(c).alias(f"trigger_{c}") for c in triggers.columns)).withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("trigger_t") - before) / width), F.floor((F.col("trigger_t") + after) / width))))
     return keyed.join(wide, "_bucket").withColumn("lag", F.col("t") - F.col("trigger_t")).where(F.col("lag").between(-before, after)).drop("_bucket")
+
+
+def safety(events: DataFrame, by: list[str], priority: str, tolerance: int, width: int) -> DataFrame:
+    """The events that are taken one after another by falling ``priority``, then time, then event_id, each of which bars all others of its
+    key less than ``tolerance`` away.
+
+    In each round every event that comes first among those still open around it is taken and the ones it bars are closed, which
+    ends with the same events as going through them one by one. A round works on buckets of ``width`` with a halo of the
+    tolerance, and is written to the shared folder. The number of rounds grows with the longest row of ever larger neighbours.
+    """
+    near = max(0, tolerance - 1)
+    bucket = lambda t: F.floor(t / width)
+    rank = F.struct(F.col(priority).alias("p"), (-F.col("t")).alias("t"), (-F.col("event_id")).alias("id"))
+    around = Window.partitionBy(*by, "_bucket").orderBy("t").rangeBetween(-near, near)
+    rest = materialise(events.where(F.col(priority).isNotNull()).select(*by, "t", "event_id", rank.alias("_rank")))
+    taken = []
+    while not rest.isEmpty():
+        halo = lambda df: df.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("t") - near), bucket(F.col("t") + near))))
+        own = F.col("_bucket") == bucket(F.col("t"))
+        marked = halo(rest).withColumn("_top", F.max("_rank").over(around)).where(own).withColumn("_first", F.col("_rank") == F.col("_top")).drop("_bucket", "_top")
+        marked = materialise(marked)
+        taken.append(marked.where("_first").select("event_id"))
+        barred = halo(marked).withColumn("_barred", F.max("_first").over(around)).where(own)
+        rest = materialise(barred.where("not _barred").drop("_bucket", "_first", "_barred"))
+    found = taken[0] if taken else events.limit(0).select("event_id")
+    for more in taken[1:]:
+        found = found.unionByName(more)
+    return events.join(found, "event_id", "left_semi")

@@ -20,3 +20,13 @@ def edges(probe: DataFrame, radius: float) -> DataFrame:
 def dense_ids(channels: DataFrame, by: str = "channel") -> DataFrame:
     """Adds ``idx``: 0, 1, 2, ... in the order of the channel number; a probe has thousands of channels at most."""
     return channels.withColumn("idx", F.row_number().over(Window.orderBy(by)) - 1)
+
+
+def central(probe: DataFrame) -> DataFrame:
+    """(node_i, node_j, channel) for each two nodes of a shank: the electrode nearest to the middle between them, of equally near ones the last."""
+    node = lambda name, *more: probe.select("grp", F.col("channel").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("x", "y")))
+    pairs = node("node_i").join(node("node_j"), "grp").where("node_i < node_j")
+    middle = lambda c: (F.col(f"{c}_node_i") + F.col(f"{c}_node_j")) / 2
+    d = (F.col("x") - middle("x")) ** 2 + (F.col("y") - middle("y")) ** 2
+    near = pairs.join(probe.select("grp", "channel", "x", "y"), "grp").groupBy("node_i", "node_j").agg(F.min(F.struct(d.alias("d"), (-F.col("channel")).alias("last"))).alias("m"))
+    return near.select("node_i", "node_j", (-F.col("m.last")).alias("channel"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -107,24 +107,40 @@ def crossings(chunks: DataFrame, thresholds: np.ndarray, distance: int, sign: in
     return _by_chunk(chunks, "channel int, t long, amp double", work)
 
 
-def fit(chunks: DataFrame, templates: np.ndarray, low: float, high: float) -> DataFrame:
-    """(template, t, amp): events by greedy matching, at the middle of their template. Halos must be two templates long or more."""
-    middle = templates.shape[1] // 2
+def fit(chunks: DataFrame, templates: np.ndarray, low, high, second: np.ndarray | None = None, least_second: float = 0.0, thresholds: np.ndarray | None = None, sign: int = -1) -> DataFrame:
+    """(template, t, amp, amp2): events by greedy matching, at the middle of their template. Halos must be two templates long or more.
+
+    ``low`` and ``high``: numbers, or one for each template. With ``thresholds`` by channel only steps where some channel has a peak
+    beyond its own are looked at.
+    """
+    middle, n = templates.shape[1] // 2, len(templates)
+    bounds = np.column_stack([np.broadcast_to(low, n), np.broadcast_to(high, n)])
 
     def work(x, row):
-        found = kernels.greedy_match(x, templates, low, high)
-        k, at, a = (np.array(v) for v in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2 + (np.empty(0),)
-        at = at + middle
+        places = None
+        if thresholds is not None:
+            v = x * sign if sign else np.abs(x)
+            places = np.unique(np.concatenate([kernels.find_peaks(v[:, c], limit) for c, limit in enumerate(thresholds)])) - middle
+        found = kernels.match(np.asarray(x, np.float64), templates, bounds, second, least_second, places)
+        at = found[:, 1].astype(np.int64) + middle
         own = (at >= row["before"]) & (at < row["before"] + row["n"])
-        return {"template": k[own], "t": at[own] - row["before"] + row["t_start"], "amp": a[own]}
+        return {"template": found[own, 0].astype(np.int32), "t": at[own] - row["before"] + row["t_start"], "amp": found[own, 2], "amp2": found[own, 3]}
+
+    return _by_chunk(chunks, "template int, t long, amp double, amp2 double", work)
+
+
+def unfitted(crossed: DataFrame, spikes: DataFrame, reach: int) -> DataFrame:
+    """Crossings (channel, t, amp) with no fitted spike within ``reach`` steps: the garbage of each channel."""
+    from . import joins
 
-    return _by_chunk(chunks, "template int, t long, amp double", work)
+    marked = crossed.withColumn("event_id", F.xxhash64("channel", "t"))
+    return joins.matched(marked.withColumn("_one", F.lit(0)), spikes.select(F.lit(0).alias("_one"), "t"), ["_one"], reach + 1).where("not hit").select(*crossed.columns)
 
 
-def snippets(chunks: DataFrame, spikes: DataFrame, before: int, after: int) -> DataFrame:
+def snippets(chunks: DataFrame, spikes: DataFrame, before: int, after: int, length: int) -> DataFrame:
     """(event_id, waveform): samples around each of ``spikes`` (event_id, t), channel after channel, from the chunk that owns it; those
-    that the halo does not reach are left out. Spikes meet chunks by equality on the chunk's number, so chunks are of one length."""
-    length = chunks.agg(F.max("n")).first()[0] or 1
+    that the halo does not reach are left out. Spikes meet chunks by equality on the chunk's number, all chunks but the last being of
+    ``length`` steps; a chunk's spikes are as many as its steps allow."""
     listed = spikes.select(F.floor(F.col("t") / length).cast("long").alias("chunk_id"), "event_id", "t").groupBy("chunk_id").agg(F.collect_list(F.struct("event_id", "t")).alias("spikes"))
 
     def run(batches):
@@ -151,3 +167,29 @@ def clusters(points: DataFrame, k: int, clusters: int) -> DataFrame:
 
     clean = points.where(F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull() | F.isnan(v)))
     return clean.groupBy("electrode").applyInPandas(run, "electrode long, point_id long, cluster int")
+
+
+def long_view(chunks: DataFrame, decimals: int = 6) -> DataFrame:
+    """(t, channel, v): a row for each sample that a chunk owns, rounded."""
+
+    def work(x, row):
+        own = np.round(x[row["before"] : row["before"] + row["n"]].astype(np.float64), decimals)
+        t, c = np.divmod(np.arange(own.size), own.shape[1])
+        return {"t": t + row["t_start"], "channel": c, "v": own.ravel()}
+
+    return _by_chunk(chunks, "t long, channel int, v double", work)
+
+
+def whitening_matrix(chunks: DataFrame) -> np.ndarray:
+    """From the covariance of all chunks; the driver receives one number for each two channels."""
+    rows = covariance(chunks).collect()
+    c = np.zeros((max((r.i for r in rows), default=-1) + 1,) * 2)
+    for r in rows:
+        c[r.i, r.j] = r.covariance
+    return kernels.whitening(c)
+
+
+def quota(points: DataFrame, n: int, by: str = "electrode", id: str = "point_id") -> DataFrame:
+    """The bounded sample of each electrode that is clustered: the ``n`` points with the least hash of their id."""
+    line = Window.partitionBy(by).orderBy(F.xxhash64(id), id)
+    return points.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= n).drop("_r")

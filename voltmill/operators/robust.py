@@ -1,36 +1,49 @@
-"""Robust statistics: medians, absolute deviations and what is subtracted by them."""
+"""Robust statistics: medians, absolute deviations and what is subtracted by them.
+
+An exact median needs no sort of all values. A sketch of fixed size brackets the middle ranks of each group; one pass then counts
+the values below the bracket and those inside it, about a thousandth of the group, and only these are put in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The sketch's rank error is the reciprocal of this share of a group, and the bracket reaches five times as far on both sides.
+ACCURACY = 10_000
+#: A group of so few values is its own bracket.
+FEW = 4096
+
+
+def median(df: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
+    """(by, out): the exact median of the values that are not null; a group without any gives no row. Null keys form groups."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    near = 5.0 / ACCURACY
+    ends = F.percentile_approx("_v", [0.5 - near, 0.5 + near], ACCURACY)
+    # a shuffle carries each group once from each task, or its values while it is small
+    sketch = rows.groupBy(*by).agg(ends.alias("_q"), F.count(F.lit(1)).alias("_all"))
+    few = F.col("_all") <= FEW
+    sketch = sketch.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.when(~few, F.col("_q")[0]).alias("_low"), F.when(~few, F.col("_q")[1]).alias("_high"), "_all")
+    met = rows.join(sketch, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).where(F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
+    inside = F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v"))
+    counts = met.groupBy(*by, inside.alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.col("_x").asc_nulls_first()))
+    low, high = F.floor((F.col("_all") - 1) / 2) + 1, F.floor(F.col("_all") / 2) + 1
+    holds = lambda k: (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
+    middle = (F.max(F.when(holds(low), F.col("_x"))) + F.max(F.when(holds(high), F.col("_x")))) / 2
+    return counts.withColumn("_upto", upto).groupBy(*by).agg(middle.alias(out))
 
-def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, median, mad): the median of absolute deviations from the group's median, both exact.
-
-    Values are first counted by group, so a shuffle carries each different value once from each task, and a group's two medians
-    come from weighted ranks instead of a list of all its values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    centre = _weighted_median(counts, by, value).withColumnRenamed("m", "median")
-    off = counts.join(centre, by).withColumn("d", F.abs(F.col(value) - F.col("median")))
-    spread = _weighted_median(off.groupBy(*by, "d").agg(F.sum("n").alias("n")), by, "d").withColumnRenamed("m", "mad")
-    return centre.join(spread, by)
 
-
-def _weighted_median(counts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median of value repeated n times: the mean of the middle two."""
-    line = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("n").over(line)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    low, high = F.floor((F.col("all") - 1) / 2) + 1, F.floor(F.col("all") / 2) + 1
-    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
-    return ranked.groupBy(*by).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("m"))
+def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median, mad): the median of absolute deviations from the group's median, both exact."""
+    centre = median(df, by, value)
+    off = df.where(F.col(value).isNotNull()).select(*by, value).join(centre, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return centre.join(median(off, by, "_off", "mad"), by)
 
 
 def remove_median(df: DataFrame, by: list[str], value: str, out: str = "referenced") -> DataFrame:
     """Adds value minus its group's median: a common reference if the group is a time step, an offset if it is a chunk of a channel."""
-    return df.withColumn(out, F.col(value) - F.median(value).over(Window.partitionBy(*by)))
+    return df.join(median(df, by, value, "_middle"), by, "left").withColumn(out, F.col(value) - F.col("_middle")).drop("_middle")
 
 
 def chunked_mad(df: DataFrame, by: list[str], chunk: str, value: str) -> DataFrame:

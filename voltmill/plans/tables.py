@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.raw import SCHEMA
+
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
@@ -37,3 +43,27 @@ def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label and embedding: eight electrodes of eight steps."""
     return table(spark, sf_dir, "embeddings")
+
+
+WAVES, HALO, STEPS, ELECTRODES = 64, 8, 8, 8
+
+
+def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The waveforms one after another as a recording of eight channels: chunks of ``WAVES`` waveforms with ``HALO`` more on both sides."""
+    w = waveforms(spark, sf_dir).select("vec_id", "embedding")
+    chunk = F.explode(F.sequence(F.greatest(F.floor((F.col("vec_id") - HALO) / WAVES), F.lit(0)), F.floor((F.col("vec_id") + HALO) / WAVES)))
+    grouped = w.withColumn("chunk_id", chunk).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("waves"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for c, waves in zip(batch.column("chunk_id").to_pylist(), batch.column("waves").to_pylist(), strict=True):
+                x = np.array([w["embedding"] for w in waves], np.float32).reshape(-1, ELECTRODES, STEPS).transpose(0, 2, 1).reshape(-1, ELECTRODES)
+                number = np.array([w["vec_id"] for w in waves])
+                own = (number // WAVES == c).sum()
+                if own:  # a halo alone is no chunk
+                    rows.append((c, c * WAVES * STEPS, int(own) * STEPS, int((number // WAVES < c).sum()) * STEPS, ELECTRODES, np.ascontiguousarray(x).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["chunk_id", "t_start", "n", "before", "channels", "samples"])
+
+    return grouped.mapInArrow(lay, SCHEMA)

@@ -12,7 +12,7 @@ REFRACTORY = 30 * MINUTE
 TOLERANCE = 20 * MINUTE
 BIN = 6 * HOUR
 LAGS = 8
-TOP = 12  # units whose correlograms are made
+ZONE = MINUTE  # after an error nothing counts for so long
 r6 = lambda c: F.round(c, 6)
 
 QUERIES: dict = {}
@@ -57,10 +57,13 @@ def chunk_median_removal(spark, sf):
 _CROSS = f"SELECT e.* FROM {EV} e JOIN ({_MAD}) m USING (channel) WHERE abs(amp - median) >= 1.5 * mad"
 
 
-def _crossings(spark, sf, times=1.5):
+def _crossings(spark, sf, times=1.5, below=None):
+    """Events ``times`` deviations or more from their channel's median, and under ``below`` deviations where it is given."""
     e = events(spark, sf)
-    m = F.broadcast(robust.mad(e, ["channel"], "amp"))  # a row for each channel
-    return e.join(m, "channel").where(F.abs(F.col("amp") - F.col("median")) >= times * F.col("mad")).select(*e.columns)
+    m = robust.mad(e, ["channel"], "amp")  # a row for each channel
+    off = F.abs(F.col("amp") - F.col("median"))
+    found = e.join(m, "channel").where(off >= times * F.col("mad"))
+    return (found if below is None else found.where(off < below * F.col("mad"))).select(*e.columns)
 
 
 @query(f"SELECT event_id, channel, t FROM ({_CROSS})")
@@ -70,7 +73,7 @@ def threshold_crossings(spark, sf):
 
 @query(f"SELECT event_id, channel, t FROM ({_CROSS}) WHERE event_id NOT IN (SELECT event_id FROM ({_CROSS.replace('1.5', '3.0')}))")
 def weird_rejection(spark, sf):
-    return _crossings(spark, sf).join(_crossings(spark, sf, 3.0).select("event_id"), "event_id", "left_anti").select("event_id", "channel", "t")
+    return _crossings(spark, sf, below=3.0).select("event_id", "channel", "t")
 
 
 @query(f"WITH q AS (SELECT channel, 0.95 * max(amp) AS top FROM {EV} GROUP BY channel) SELECT event_id, channel, t, CASE WHEN amp > top THEN 0 ELSE round(amp, 6) END AS cleaned, amp > top AS saturated FROM {EV} JOIN q USING (channel)")
@@ -83,15 +86,17 @@ def saturation_log(spark, sf):
 
 @query(f"SELECT event_id, t FROM (SELECT *, lag(amp) OVER w AS b, lead(amp) OVER w AS a FROM {EV} WINDOW w AS (PARTITION BY channel ORDER BY t, event_id)) WHERE amp > b AND amp >= a")
 def local_maxima(spark, sf):
-    w = Window.partitionBy("channel").orderBy("t", "event_id")
-    e = events(spark, sf).withColumn("b", F.lag("amp").over(w)).withColumn("a", F.lead("amp").over(w))
-    return e.where("amp > b and amp >= a").select("event_id", "t")
+    e = joins.neighbours(events(spark, sf), ["channel"], ["t", "event_id"], ["amp"], DAY)
+    return e.where("amp > before.amp and amp >= after.amp").select("event_id", "t")
 
 
 @query(f"SELECT event_id FROM (SELECT *, max(amp) OVER (PARTITION BY channel ORDER BY t RANGE BETWEEN {TOLERANCE} PRECEDING AND {TOLERANCE} FOLLOWING) AS top FROM {EV}) WHERE amp >= top")
 def isolation_test(spark, sf):
-    w = Window.partitionBy("channel").orderBy("t").rangeBetween(-TOLERANCE, TOLERANCE)
-    return events(spark, sf).withColumn("top", F.max("amp").over(w)).where("amp >= top").select("event_id")
+    """Days are looked at alone, each with a halo of the tolerance."""
+    day = lambda t: F.floor(t / DAY)
+    e = events(spark, sf).withColumn("day", F.explode(F.sequence(day(F.col("t") - TOLERANCE), day(F.col("t") + TOLERANCE))))
+    w = Window.partitionBy("channel", "day").orderBy("t").rangeBetween(-TOLERANCE, TOLERANCE)
+    return e.withColumn("top", F.max("amp").over(w)).where((day(F.col("t")) == F.col("day")) & (F.col("amp") >= F.col("top"))).select("event_id")
 
 
 _ISI = f"(SELECT *, t - lag(t) OVER (PARTITION BY unit ORDER BY t, event_id) AS isi FROM {EV})"
@@ -142,12 +147,6 @@ def prelabel(spark, sf):
 
 
 _BINS = f"(SELECT DISTINCT unit, round_even(t / {float(BIN)}, 0)::BIGINT AS bin FROM {EV})"
-_TOPS = f"(SELECT unit FROM {EV} GROUP BY unit ORDER BY count(*) DESC, unit LIMIT {TOP})"
-
-
-def _top(e):
-    return e.groupBy("unit").count().orderBy(F.desc("count"), "unit").limit(TOP).select("unit")
-
 
 @query(f"SELECT a.unit, b.bin - a.bin AS lag, count(*) AS n FROM {_BINS} a JOIN {_BINS} b ON a.unit = b.unit AND b.bin - a.bin BETWEEN -{LAGS} AND {LAGS} AND a.bin <> b.bin GROUP BY 1, 2")
 def autocorrelogram(spark, sf):
@@ -155,15 +154,11 @@ def autocorrelogram(spark, sf):
     return trains.correlogram(b, b, LAGS).where("unit = other and lag <> 0").groupBy("unit", F.col("lag").cast("long").alias("lag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_CC = f"SELECT a.unit AS i, b.unit AS j, b.bin - a.bin AS lag, count(*) AS n FROM {_BINS} a JOIN {_BINS} b ON a.unit < b.unit AND b.bin - a.bin BETWEEN -{LAGS} AND {LAGS} WHERE a.unit IN {_TOPS} AND b.unit IN {_TOPS} GROUP BY 1, 2, 3"
+_CC = f"SELECT a.unit AS i, b.unit AS j, b.bin - a.bin AS lag, count(*) AS n FROM {_BINS} a JOIN {_BINS} b ON a.unit < b.unit AND b.bin - a.bin BETWEEN -{LAGS} AND {LAGS} GROUP BY 1, 2, 3"
 
 
 def _cc(spark, sf):
-    e = events(spark, sf)
-    top = F.broadcast(_top(e))  # TOP rows
-    pairs = F.broadcast(top.withColumnRenamed("unit", "i").join(top.withColumnRenamed("unit", "j"), F.col("i") < F.col("j")))
-    b = trains.bins(e.join(top, "unit"), BIN)
-    return trains.cross_correlogram(b, pairs, LAGS).withColumn("lag", F.col("lag").cast("long"))
+    return trains.cross_correlogram(trains.bins(events(spark, sf), BIN), LAGS)
 
 
 @query(_CC)
@@ -177,19 +172,17 @@ def cc_dip_score(spark, sf):
     return _cc(spark, sf).groupBy("i", "j").agg((1 - near / (F.sum("n") / (2 * LAGS + 1.0))).alias("d")).select("i", "j", r6(F.when(F.col("d").isNull(), 0.0).otherwise(F.greatest("d", F.lit(0.0)))).alias("dip"))
 
 
-_HIST = f"(SELECT unit, t // {DAY} AS d, count(*) AS n FROM {EV} WHERE unit IN {_TOPS} GROUP BY ALL)"
+_HIST = f"(SELECT unit, t // {DAY} AS d, count(*) AS n FROM {EV} GROUP BY ALL)"
 
 
 @query(f"SELECT a.unit AS i, b.unit AS j, count(*) AS days, sum(a.n)::BIGINT AS n_i, sum(b.n)::BIGINT AS n_j FROM {_HIST} a JOIN {_HIST} b ON a.d = b.d AND a.unit < b.unit GROUP BY 1, 2")
 def joint_activity(spark, sf):
-    h = _daily(spark, sf)
-    other = h.select(F.col("unit").alias("j"), "d", F.col("n").alias("m"))
-    return h.withColumnRenamed("unit", "i").join(other, "d").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("n_i"), F.sum("m").alias("n_j"))
+    both = trains.unit_pairs(_daily(spark, sf), "d")
+    return both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("n_i"), F.sum("j_n").alias("n_j"))
 
 
 def _daily(spark, sf):
-    e = events(spark, sf)
-    return e.join(F.broadcast(_top(e)), "unit").groupBy("unit", F.floor(F.col("t") / DAY).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return events(spark, sf).groupBy("unit", F.floor(F.col("t") / DAY).alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _P = f"(SELECT unit, d, n / sum(n) OVER (PARTITION BY unit) AS p FROM {_HIST})"
@@ -197,9 +190,8 @@ _P = f"(SELECT unit, d, n / sum(n) OVER (PARTITION BY unit) AS p FROM {_HIST})"
 
 @query(f"SELECT a.unit AS i, b.unit AS j, round(sum(sqrt(a.p * b.p)), 6) AS bhatta FROM {_P} a JOIN {_P} b ON a.d = b.d AND a.unit < b.unit GROUP BY 1, 2")
 def bhatta_hist(spark, sf):
-    p = _daily(spark, sf).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("unit")))
-    other = p.select(F.col("unit").alias("j"), "d", F.col("p").alias("q"))
-    return p.withColumnRenamed("unit", "i").join(other, "d").where("i < j").groupBy("i", "j").agg(r6(F.sum(F.sqrt(F.col("p") * F.col("q")))).alias("bhatta"))
+    p = _daily(spark, sf).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("unit"))).drop("n")
+    return trains.unit_pairs(p, "d").groupBy("i", "j").agg(r6(F.sum(F.sqrt(F.col("p") * F.col("j_p")))).alias("bhatta"))
 
 
 @query(f"WITH m AS (SELECT channel, min(amp) AS lo, (max(amp) - min(amp)) / 50 AS w FROM {EV} GROUP BY channel) SELECT channel, least(floor((amp - lo) / w), 49)::BIGINT AS bin, count(*) AS n FROM {EV} JOIN m USING (channel) WHERE w > 0 GROUP BY 1, 2")
@@ -223,21 +215,21 @@ def trend_split(spark, sf):
     return events(spark, sf).select("event_id", "unit", (F.col("amp") >= F.avg("amp").over(w)).cast("int").alias("part"))
 
 
-_ZONES = f"(SELECT t AS start, t + {HOUR} AS stop FROM {EV} WHERE channel = 'error' AND event_id % 50 = 0)"
+_ZONES = f"(SELECT t AS start, t + {ZONE} AS stop FROM {EV} WHERE channel = 'error')"
 
 
 def _zones(spark, sf):
-    return events(spark, sf).where("channel = 'error' and event_id % 50 = 0").select(F.col("t").alias("start"), (F.col("t") + HOUR).alias("stop"))
+    return events(spark, sf).where("channel = 'error'").select(F.col("t").alias("start"), (F.col("t") + ZONE).alias("stop"))
 
 
 @query(f"SELECT event_id FROM {EV} e WHERE NOT EXISTS (SELECT 1 FROM {_ZONES} z WHERE e.t >= z.start AND e.t < z.stop)")
 def dead_zone_anti(spark, sf):
-    return joins.outside(events(spark, sf), _zones(spark, sf), HOUR).select("event_id")
+    return joins.outside(events(spark, sf), _zones(spark, sf), ZONE).select("event_id")
 
 
 @query(f"SELECT min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN start <= max(stop) OVER (ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM {_ZONES})) GROUP BY g")
 def dead_zone_coalesce(spark, sf):
-    return joins.coalesce_intervals(_zones(spark, sf))
+    return joins.coalesce_intervals(_zones(spark, sf), DAY)
 
 
 @query(f"WITH s AS (SELECT day AS t, row_number() OVER (ORDER BY day) - 1 AS stream, lead(day) OVER (ORDER BY day) AS nxt FROM (SELECT DISTINCT t // {7 * DAY} * {7 * DAY} AS day FROM {EV})) SELECT event_id, stream, e.t - s.t AS rebased FROM {EV} e JOIN s ON e.t >= s.t AND (nxt IS NULL OR e.t < nxt)")
@@ -245,7 +237,7 @@ def stream_asof(spark, sf):
     e = events(spark, sf)
     starts = e.select((F.floor(F.col("t") / (7 * DAY)) * (7 * DAY)).alias("t")).distinct()
     starts = starts.withColumn("stream", F.struct((F.row_number().over(Window.orderBy("t")) - 1).cast("long").alias("n"), F.col("t").alias("t0")))
-    return joins.as_of(e, starts, "stream").select("event_id", F.col("stream.n").alias("stream"), (F.col("t") - F.col("stream.t0")).alias("rebased"))
+    return joins.as_of(e, starts, "stream", DAY).select("event_id", F.col("stream.n").alias("stream"), (F.col("t") - F.col("stream.t0")).alias("rebased"))
 
 
 @query(f"SELECT d AS stream, n, (sum(n) OVER (ORDER BY d) - n)::BIGINT AS first FROM (SELECT t // {DAY} AS d, count(*) AS n FROM {EV} GROUP BY 1)")
@@ -254,21 +246,25 @@ def stream_offsets(spark, sf):
     return days.select("stream", "n", (F.sum("n").over(Window.orderBy("stream")) - F.col("n")).alias("first"))
 
 
-@query(f"WITH s AS (SELECT min(t) AS lo FROM {EV}) SELECT event_id, k AS stream, t - (lo + k * {DAY * 7}) AS rebased FROM {EV}, s, range(5) r(k) WHERE t >= lo + k * {DAY * 7} AND t <= lo + (k + 1) * {DAY * 7}")
+_SPAN = f"(SELECT min(t) AS lo, max(t) AS hi FROM {EV})"
+
+
+@query(f"SELECT event_id, k AS stream, t - (lo + k * {DAY * 7}) AS rebased FROM {EV}, {_SPAN}, (SELECT unnest(range(0, (hi - lo) // {DAY * 7} + 1)) AS k FROM {_SPAN}) WHERE t >= lo + k * {DAY * 7} AND t <= lo + (k + 1) * {DAY * 7}")
 def slice_per_stream(spark, sf):
-    """Both ends of a slice belong to it, as in a result that is cut by stream."""
+    """Both ends of a slice belong to it, as in a result that is cut by stream: an event on a border is in the slice before too."""
     e = events(spark, sf)
-    lo = e.agg(F.min("t").alias("lo"))
-    spans = F.broadcast(lo.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("lo", F.col("k").cast("long").alias("stream")))
-    begin = F.col("lo") + F.col("stream") * (7 * DAY)
-    return e.join(spans, (F.col("t") >= begin) & (F.col("t") <= begin + 7 * DAY)).select("event_id", "stream", (F.col("t") - begin).alias("rebased"))
+    lo = F.broadcast(e.agg(F.min("t").alias("lo")))  # one row
+    k = F.floor((F.col("t") - F.col("lo")) / (7 * DAY))
+    border = ((F.col("t") - F.col("lo")) % (7 * DAY) == 0) & (k > 0)
+    sliced = e.crossJoin(lo).withColumn("stream", F.explode(F.when(border, F.array(k - 1, k)).otherwise(F.array(k))))
+    return sliced.select("event_id", "stream", (F.col("t") - F.col("lo") - F.col("stream") * (7 * DAY)).alias("rebased"))
 
 
-_TRIG = f"(SELECT event_id, t FROM {EV} WHERE channel = 'purchase' AND event_id % 20 = 0)"
+_TRIG = f"(SELECT event_id, t FROM {EV} WHERE channel = 'purchase')"
 
 
 def _triggers(spark, sf):
-    return events(spark, sf).where("channel = 'purchase' and event_id % 20 = 0").select("event_id", "t")
+    return events(spark, sf).where("channel = 'purchase'").select("event_id", "t")
 
 
 @query(f"SELECT g.event_id AS repeat, e.event_id, e.t - g.t AS lag FROM {EV} e JOIN {_TRIG} g ON e.t - g.t BETWEEN 0 AND {HOUR}")
@@ -287,7 +283,7 @@ _ART = f"SELECT channel, (e.t - g.t) // {10 * MINUTE} AS tau, median(amp) AS art
 
 def _artefact(spark, sf):
     near = joins.around(events(spark, sf), _triggers(spark, sf), 0, HOUR).withColumn("tau", F.floor(F.col("lag") / (10 * MINUTE)))
-    return near, near.groupBy("channel", "tau").agg(F.median("amp").alias("artefact"))
+    return near, robust.median(near, ["channel", "tau"], "amp", "artefact")
 
 
 @query(f"SELECT channel, tau, round(artefact, 6) AS artefact FROM ({_ART})")
@@ -342,32 +338,65 @@ def nearest_distance(spark, sf):
     return n.select("event_id", F.least(F.col("t") - F.col("before"), F.col("after") - F.col("t")).alias("gap"))
 
 
-_CUTS = f"(SELECT unnest(range(1, 20)) AS k, unnest(quantile_cont(amp, {[k / 20 for k in range(1, 20)]})) AS cut FROM {EV})"
+_FEATURES = f"(SELECT channel = 'purchase' AS yes, amp AS x, (t % {DAY}) / {float(HOUR)} AS y FROM {EV})"
+_FIT = f"(SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy FROM {_FEATURES} WHERE yes)"
+_MAHALANOBIS = f"(SELECT yes, (vy * (x - mx) ** 2 - 2 * cxy * (x - mx) * (y - my) + vx * (y - my) ** 2) / (vx * vy - cxy * cxy) AS d FROM {_FEATURES}, {_FIT})"
+CUTS = 300
 
 
-@query(f"SELECT k, round(count(*) FILTER (channel = 'purchase' AND amp >= cut) / count(*) FILTER (channel = 'purchase'), 6) AS tpr, round(count(*) FILTER (channel <> 'purchase' AND amp >= cut) / count(*) FILTER (channel <> 'purchase'), 6) AS fpr FROM {EV}, {_CUTS} GROUP BY k")
-def roc_curve(spark, sf):
-    e = events(spark, sf)
-    cuts = e.agg(F.percentile("amp", F.array(*(F.lit(k / 20.0) for k in range(1, 20)))).alias("c"))
-    cut = F.broadcast(cuts.select(F.posexplode("c").alias("k", "cut")))
-    share = lambda p: F.count(F.when(p & (F.col("amp") >= F.col("cut")), 1)) / F.count(F.when(p, 1))
-    yes = F.col("channel") == "purchase"
-    return e.crossJoin(cut).groupBy((F.col("k") + 1).cast("long").alias("k")).agg(r6(share(yes)).alias("tpr"), r6(share(~yes)).alias("fpr"))
+def _distances(spark, sf):
+    """Squared Mahalanobis distance of every event to the purchases, in amplitude and hour of day, from one row of moments."""
+    f = events(spark, sf).select((F.col("channel") == "purchase").alias("yes"), F.col("amp").alias("x"), (F.pmod("t", F.lit(DAY)) / float(HOUR)).alias("y"))
+    m = f.where("yes").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    d = (F.col("vy") * dx * dx - 2 * F.col("cxy") * dx * dy + F.col("vx") * dy * dy) / (F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy"))
+    return f.crossJoin(F.broadcast(m)).select("yes", d.alias("d"))
 
 
-_CM = f"SELECT k, count(*) FILTER (channel = 'purchase' AND amp >= cut)::DOUBLE AS tp, count(*) FILTER (channel = 'purchase' AND amp < cut)::DOUBLE AS fn, count(*) FILTER (channel <> 'purchase' AND amp >= cut)::DOUBLE AS fp, count(*) FILTER (channel <> 'purchase' AND amp < cut)::DOUBLE AS tn FROM {EV}, {_CUTS} GROUP BY k"
+def _confusion(spark, sf):
+    """(k, tp, fn, fp, tn) of each cut-off: events nearer than it are accepted. The cut-offs are ``CUTS`` of the different distances, from
+    the least to the largest, evenly spaced in their order.
 
+    Distances are ranked inside cells of a fixed monotone function of their value, and the cells' sizes add up to offsets. An event
+    goes into the bin of the first cut-off that takes it, and the counts add up from bin to bin.
+    """
+    d = F.round("d", 6)
+    cell = F.floor(F.asinh("d") * 256).alias("cell")
+    different = _distances(spark, sf).groupBy(d.alias("d")).agg(F.count(F.when(F.col("yes"), 1)).alias("yes"), F.count(F.when(~F.col("yes"), 1)).alias("no")).select("d", "yes", "no", cell)
+    sizes = different.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = Window.orderBy("cell")  # some thousand rows at most
+    offsets = sizes.select("cell", (F.sum("n").over(cells) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ranked = different.join(F.broadcast(offsets), "cell").withColumn("rank", F.col("offset") + F.row_number().over(Window.partitionBy("cell").orderBy("d")))
+    bin = F.expr(f"least(({CUTS - 1} * rank + total - 2) div nullif(total - 1, 0), {CUTS})")
+    n = ranked.groupBy(F.coalesce(bin, F.lit(CUTS)).alias("k")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    both = spark.range(CUTS + 1).withColumnRenamed("id", "k").join(n, "k", "left").select("k", F.coalesce("yes", F.lit(0)).alias("yes"), F.coalesce("no", F.lit(0)).alias("no"))
+    line, whole = Window.orderBy("k"), Window.partitionBy()  # CUTS + 1 rows
+    summed = both.select("k", F.sum("yes").over(line).alias("tp"), F.sum("no").over(line).alias("fp"), F.sum("yes").over(whole).alias("y"), F.sum("no").over(whole).alias("n"))
+    double = lambda c: F.expr(c).cast("double")
+    return summed.where(F.col("k") < CUTS).select("k", double("tp").alias("tp"), double("y - tp").alias("fn"), double("fp").alias("fp"), double("n - fp").alias("tn"))
 
-@query(f"SELECT k, round(coalesce(1 - (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 1), 6) AS cost, round(tp / (tp + fn) / 2 + tn / (tn + fp) / 2, 6) AS weighted FROM ({_CM})")
+
+_CM = f"""(WITH e AS (SELECT yes, round(d, 6) AS d FROM {_MAHALANOBIS}), u AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM e)),
+c AS (SELECT k, d AS cut FROM u, (SELECT unnest(range({CUTS})) AS k) WHERE r = k * (n - 1) // {CUTS - 1})
+SELECT k, count(*) FILTER (yes AND d < cut)::DOUBLE AS tp, count(*) FILTER (yes AND d >= cut)::DOUBLE AS fn, count(*) FILTER (NOT yes AND d < cut)::DOUBLE AS fp, count(*) FILTER (NOT yes AND d >= cut)::DOUBLE AS tn FROM e, c GROUP BY k)"""
+
+
+@query(f"SELECT k, round(tp / nullif(tp + fn, 0), 6) AS tpr, round(fp / nullif(fp + tn, 0), 6) AS fpr FROM {_CM}")
+def roc_curve(spark, sf):
+    """True and false positive rates at cut-offs of the Mahalanobis distance to the class."""
+    return _confusion(spark, sf).select("k", r6(F.expr("tp / nullif(tp + fn, 0)")).alias("tpr"), r6(F.expr("fp / nullif(fp + tn, 0)")).alias("fpr"))
+
+
+@query(f"SELECT k, round(coalesce(1 - (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 1), 6) AS cost FROM {_CM}")
 def mcc_score(spark, sf):
-    e = events(spark, sf)
-    cuts = e.agg(F.percentile("amp", F.array(*(F.lit(k / 20.0) for k in range(1, 20)))).alias("c"))
-    cut = F.broadcast(cuts.select(F.posexplode("c").alias("k", "cut")))
-    n = lambda p: F.count(F.when(p, 1)).cast("double")
-    yes, high = F.col("channel") == "purchase", F.col("amp") >= F.col("cut")
-    c = e.crossJoin(cut).groupBy((F.col("k") + 1).cast("long").alias("k")).agg(n(yes & high).alias("tp"), n(yes & ~high).alias("fn"), n(~yes & high).alias("fp"), n(~yes & ~high).alias("tn"))
     root = F.expr("sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")
-    return c.select("k", r6(F.coalesce(1 - F.expr("tp * tn - fp * fn") / F.nullif(root, F.lit(0.0)), F.lit(1.0))).alias("cost"), r6(F.expr("tp / (tp + fn) / 2 + tn / (tn + fp) / 2")).alias("weighted"))
+    return _confusion(spark, sf).select("k", r6(F.coalesce(1 - F.expr("tp * tn - fp * fn") / F.nullif(root, F.lit(0.0)), F.lit(1.0))).alias("cost"))
+
+
+@query(f"SELECT k, round(tp / nullif(tp + fn, 0) / 2 + tn / nullif(tn + fp, 0) / 2, 6) AS accuracy FROM {_CM}")
+def weighted_accuracy(spark, sf):
+    """Each class counts a half, whatever its size."""
+    return _confusion(spark, sf).select("k", r6(F.expr("tp / nullif(tp + fn, 0) / 2 + tn / nullif(tn + fp, 0) / 2")).alias("accuracy"))
 
 
 @query(f"SELECT event_id, dense_rank() OVER (ORDER BY unit // 3) - 1 AS unit FROM {EV}")
@@ -418,8 +447,7 @@ _GAPS = f"(SELECT channel, t AS start, lead(t) OVER (PARTITION BY channel ORDER
 
 @query(f"SELECT channel, start, stop, (stop - start) // {HOUR} AS slots FROM {_GAPS} WHERE stop - start >= {HOUR}")
 def silent_runs(spark, sf):
-    w = Window.partitionBy("channel").orderBy("t", "event_id")
-    gaps = events(spark, sf).select("channel", F.col("t").alias("start"), F.lead("t").over(w).alias("stop"))
+    gaps = joins.neighbours(events(spark, sf), ["channel"], ["t", "event_id"], ["t"], DAY).select("channel", F.col("t").alias("start"), F.col("after.t").alias("stop"))
     return gaps.where(F.col("stop") - F.col("start") >= HOUR).select("channel", "start", "stop", F.floor((F.col("stop") - F.col("start")) / HOUR).alias("slots"))
 
 

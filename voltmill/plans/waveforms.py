@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import joins, robust, templates
 from ..operators import probe as probes
-from ..operators import robust, templates
 from .tables import PROBE, SIGNAL, probe, signal, waveforms
 
 ELECTRODES, STEPS = 8, 8
+CHUNK = 1 << 16
 RADIUS = 1.5
 r6 = lambda c: F.round(c, 6)
 
@@ -142,35 +143,32 @@ _RHO = f"(SELECT i, avg(d) AS rho FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query(f"SELECT i, round(rho, 5) AS rho FROM {_RHO}")
 def knn_rho(spark, sf):
-    near = templates.neighbours(waveforms(spark, sf), "vec_id", "label", "embedding")
-    return templates.density(near, 5).select("i", F.round("rho", 5).alias("rho"))
+    return templates.density(waveforms(spark, sf), "vec_id", "label", "embedding", 5).select("i", F.round("rho", 5).alias("rho"))
 
 
 @query(f"SELECT d.i, arg_min(d.j, d.d) AS j, round(min(d.d), 5) AS delta FROM {_DIST} d JOIN {_RHO} a ON a.i = d.i JOIN {_RHO} b ON b.i = d.j WHERE b.rho < a.rho GROUP BY d.i")
 def denser_neighbour(spark, sf):
-    near = templates.neighbours(waveforms(spark, sf), "vec_id", "label", "embedding")
-    return templates.denser(near, templates.density(near, 5)).select("i", "j", F.round("delta", 5).alias("delta"))
+    w = waveforms(spark, sf)
+    rho = templates.density(w, "vec_id", "label", "embedding", 5)
+    return templates.denser(w, rho, "vec_id", "label", "embedding").select("i", "j", F.round("delta", 5).alias("delta"))
 
 
 @query(f"SELECT label, vec_id, r AS rank FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY list_sum(list_transform(list_zip(e.embedding, t.w), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))), e.vec_id) AS r FROM embeddings e JOIN {_VEC} t USING (label)) WHERE r <= 10")
 def nearest_to_centroid(spark, sf):
-    w = waveforms(spark, sf).join(F.broadcast(_vectors(spark, sf)), "label").withColumn("d", templates.distance(F.col("embedding"), F.col("vector")))
+    w = waveforms(spark, sf).join(_vectors(spark, sf), "label").withColumn("d", templates.distance(F.col("embedding"), F.col("vector")))
     line = Window.partitionBy("label").orderBy("d", "vec_id")
     return w.withColumn("rank", F.row_number().over(line).cast("long")).where("rank <= 10").select("label", "vec_id", "rank")
 
 
 @query(f"SELECT a.k AS i, b.k AS j, round(sum(a.v::DOUBLE * b.v) / (SELECT count(*) FROM embeddings), 6) AS g FROM {_LONG} a JOIN {_LONG} b USING (vec_id) WHERE a.k <= b.k GROUP BY 1, 2")
 def gram_matrix(spark, sf):
-    """Not centred. A row for each pair of a waveform's values would be shuffled; each task adds up its own first."""
-    w = waveforms(spark, sf)
-    n = w.count()
-    x = w.select(F.posexplode("embedding").alias("i", "a"), "embedding").select("i", "a", F.posexplode("embedding").alias("j", "b")).where("i <= j")
-    return x.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(r6(F.sum(F.col("a").cast("double") * F.col("b")) / n).alias("g"))
+    """Not centred. Each task adds up its own waveforms' products; a row for each pair of values and task is shuffled."""
+    return templates.gram(waveforms(spark, sf), "embedding").where("i <= j").select("i", "j", r6("g").alias("g"))
 
 
 @query(f"SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], t.w::DOUBLE[]) / list_inner_product(t.w::DOUBLE[], t.w::DOUBLE[]), 4) AS amplitude, round(list_sum(list_transform(list_zip(e.embedding, t.w), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) / 64, 6) AS mse FROM embeddings e JOIN {_VEC} t USING (label)")
 def reconstruction_mse(spark, sf):
-    w = waveforms(spark, sf).join(F.broadcast(_vectors(spark, sf)), "label")
+    w = waveforms(spark, sf).join(_vectors(spark, sf), "label")
     d = templates.distance(F.col("embedding"), F.col("vector"))
     a = templates.dot(F.col("embedding"), F.col("vector")) / templates.dot(F.col("vector"), F.col("vector"))
     return w.select("vec_id", F.round(a, 4).alias("amplitude"), r6(d * d / 64).alias("mse"))
@@ -178,12 +176,8 @@ def reconstruction_mse(spark, sf):
 
 @query(f"WITH b AS (SELECT e.vec_id, e.label AS i, t.label AS j, list_inner_product(e.embedding::DOUBLE[], t.w::DOUBLE[]) / list_inner_product(t.w::DOUBLE[], t.w::DOUBLE[]) AS b FROM embeddings e, {_VEC} t), own AS (SELECT vec_id, b AS own FROM b WHERE i = j) SELECT i, j, count(*) FILTER (b >= own) AS chances, count(*) AS n FROM b JOIN own USING (vec_id) WHERE i <> j GROUP BY i, j")
 def confusion_nb_chances(spark, sf):
-    """For each template the waveforms that another explains at least as well."""
-    t = F.broadcast(_vectors(spark, sf).select(F.col("label").alias("j"), "vector"))
-    a = templates.dot(F.col("embedding"), F.col("vector")) / templates.dot(F.col("vector"), F.col("vector"))
-    all_ = waveforms(spark, sf).crossJoin(t).select("vec_id", F.col("label").alias("i"), "j", a.alias("b"))
-    own = F.max(F.when(F.col("i") == F.col("j"), F.col("b"))).over(Window.partitionBy("vec_id"))
-    return all_.withColumn("own", own).where("i <> j").groupBy("i", "j").agg(F.count(F.when(F.col("b") >= F.col("own"), 1)).alias("chances"), F.count(F.lit(1)).alias("n"))
+    """For each template the waveforms that another explains at least as well. A waveform meets every template, as the counts are of all pairs of both."""
+    return templates.chances(waveforms(spark, sf), _vectors(spark, sf), "vec_id", "label", "embedding")
 
 
 @query(f"SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) / 64 < 0.015 AS noise, round(sqrt(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x))), 5) AS first FROM embeddings")
@@ -216,11 +210,10 @@ def dead_channels(spark, sf):
     return probes.dense_ids(alive).select("channel", F.col("idx").cast("long").alias("idx"))
 
 
-@query(f"SELECT grp, arg_min(channel, d * 1000 + channel) AS channel FROM (SELECT *, (x - avg(x) OVER (PARTITION BY grp)) ** 2 + (y - avg(y) OVER (PARTITION BY grp)) ** 2 AS d FROM {PROBE}) GROUP BY grp")
+@query(f"SELECT node_i, node_j, max(channel) AS channel FROM (SELECT a.channel AS node_i, b.channel AS node_j, c.channel, (c.x - (a.x + b.x) / 2) ** 2 + (c.y - (a.y + b.y) / 2) ** 2 AS d, min(d) OVER (PARTITION BY a.channel, b.channel) AS least FROM {PROBE} a JOIN {PROBE} b ON a.grp = b.grp AND a.channel < b.channel JOIN {PROBE} c ON c.grp = a.grp) WHERE d = least GROUP BY 1, 2")
 def central_electrode(spark, sf):
-    w = Window.partitionBy("grp")
-    d = (F.col("x") - F.avg("x").over(w)) ** 2 + (F.col("y") - F.avg("y").over(w)) ** 2
-    return probe(spark, sf).withColumn("d", d).groupBy("grp").agg(F.min_by("channel", F.col("d") * 1000 + F.col("channel")).alias("channel"))
+    """For each two nodes of a shank the electrode nearest to the middle between them, of equally near ones the last."""
+    return probes.central(probe(spark, sf))
 
 
 _SMAD = f"(SELECT channel, median(v) AS median, mad(v) AS mad FROM {SIGNAL} GROUP BY channel)"
@@ -234,9 +227,9 @@ def signal_mad(spark, sf):
 @query(f"SELECT channel, t, k, round(0.25 * coalesce(lag(v) OVER w, 0) + 0.5 * v + 0.25 * coalesce(lead(v) OVER w, 0), 4) AS v FROM {SIGNAL} WINDOW w AS (PARTITION BY channel ORDER BY t, k, v)")
 def fir_filter(spark, sf):
     """A three-tap filter, zeros beyond the ends."""
-    w = Window.partitionBy("channel").orderBy("t", "k", "v")
-    zero = F.lit(0.0)
-    return signal(spark, sf).select("channel", "t", "k", F.round(0.25 * F.coalesce(F.lag("v").over(w), zero) + 0.5 * F.col("v") + 0.25 * F.coalesce(F.lead("v").over(w), zero), 4).alias("v"))
+    s = joins.neighbours(signal(spark, sf), ["channel"], ["t", "k", "v"], ["v"], CHUNK)
+    side = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return s.select("channel", "t", "k", F.round(0.25 * side("before.v") + 0.5 * F.col("v") + 0.25 * side("after.v"), 4).alias("v"))
 
 
 @query(f"SELECT channel, t, k, round((v - median) / mad, 5) AS z FROM {SIGNAL} JOIN {_SMAD} USING (channel) WHERE mad > 0")
@@ -247,7 +240,17 @@ def whiten_apply(spark, sf):
     return s.join(m, "channel").select("channel", "t", "k", F.round((F.col("v") - F.col("median")) / F.col("mad"), 5).alias("z"))
 
 
-@query(f"SELECT channel, count(*) AS n FROM {SIGNAL} JOIN {_SMAD} USING (channel) WHERE abs(v - median) > 1.5 * mad GROUP BY channel")
+FLOOR, THRESHOLD = 0.05, 0.4
+_LIMITS = f"(SELECT electrode, {THRESHOLD} * any_value(sd) AS threshold, {FLOOR} * any_value(sd) AS least FROM (SELECT k // {STEPS} AS electrode, stddev_pop(v::DOUBLE) AS sd FROM {_LONG} GROUP BY 1) GROUP BY electrode)"
+
+
+@query(f"WITH p AS (SELECT label, arg_min(k // {STEPS}, v) AS electrode, -min(v)::DOUBLE AS peak FROM {_TEMPLATE} GROUP BY label), low AS (SELECT electrode, min(peak) AS peak FROM p GROUP BY electrode) SELECT electrode, round(CASE WHEN peak < threshold THEN greatest(least, peak) ELSE threshold END, 6) AS threshold FROM {_LIMITS} LEFT JOIN low USING (electrode)")
 def accurate_thresholds(spark, sf):
-    s = signal(spark, sf)
-    return s.join(robust.mad(s, ["channel"], "v"), "channel").where("abs(v - median) > 1.5 * mad").groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+    """Each electrode's threshold goes down to the smallest of its templates' troughs where that is less, but not under a floor.
+    A template belongs to the electrode of its deepest point."""
+    values = templates.long_view(waveforms(spark, sf), [], "embedding").select(F.floor(F.col("k") / STEPS).alias("electrode"), F.col("v").cast("double").alias("v"))
+    limits = values.groupBy("electrode").agg(F.stddev_pop("v").alias("sd")).select("electrode", (THRESHOLD * F.col("sd")).alias("threshold"), (FLOOR * F.col("sd")).alias("least"))
+    deep = _template(spark, sf).groupBy("label").agg(F.min_by(F.floor(F.col("k") / STEPS), "v").alias("electrode"), (-F.min("v").cast("double")).alias("peak"))
+    low = deep.groupBy("electrode").agg(F.min("peak").alias("peak"))
+    lowered = F.when(F.col("peak") < F.col("threshold"), F.greatest("least", "peak")).otherwise(F.col("threshold"))
+    return limits.join(low, "electrode", "left").select("electrode", r6(lowered).alias("threshold"))

@@ -46,3 +46,41 @@ def read_sorting(spark: SparkSession, folder: str, chunk: int = 1 << 20) -> Data
 def keep_curated(events: DataFrame) -> DataFrame:
     """Events of units that curation left good or did not look at; those marked noise or mua go."""
     return events.where(F.col("group").isin("good", "unsorted"))
+
+
+def merges_of_groups(templates: DataFrame, groups: DataFrame) -> DataFrame:
+    """(template, unit): templates (template, cluster) of one curated cluster become one unit, numbered anew without gaps by cluster; those
+    of clusters marked mua or noise, or that curation does not mention, go. A template that is listed more often belongs where it is last."""
+    from pyspark.sql import Window
+
+    last = templates.groupBy("template").agg(F.max_by("cluster", F.coalesce(F.col("row"), F.lit(0)) if "row" in templates.columns else F.col("cluster")).alias("cluster"))
+    kept = last.join(groups.where(F.col("group").isin("good", "unsorted")).select(F.col("cluster_id").alias("cluster")).distinct(), "cluster")
+    units = kept.select("cluster").distinct().withColumn("unit", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long"))  # one row for each unit
+    return kept.join(units, "cluster").select("template", "unit")
+
+
+def export(folder: str, spikes: DataFrame, templates, positions, similarity, rate: float) -> None:
+    """Writes what a curation tool opens: spike_times, spike_templates, spike_clusters and amplitudes in the order of time, the templates
+    (unit, time, channel), their similarities, the channel map and positions, and params.py.
+
+    Arrays of spikes are written part after part from sorted slices, so the driver holds one slice at a time, and the driver's disk the files.
+    """
+    import numpy as np
+
+    os.makedirs(folder, exist_ok=True)
+    put = lambda name, x: np.save(os.path.join(folder, name), x)
+    n = spikes.count()
+    files = {name: np.lib.format.open_memmap(os.path.join(folder, f"{name}.npy"), "w+", kind, (n,)) for name, kind in (("spike_times", np.int64), ("spike_templates", np.int32), ("spike_clusters", np.int32), ("amplitudes", np.float64))} if n else {}
+    for name, kind in (("spike_times", np.int64), ("spike_templates", np.int32), ("spike_clusters", np.int32), ("amplitudes", np.float64)):
+        if not n:
+            put(f"{name}.npy", np.zeros(0, kind))
+    for at, r in enumerate(spikes.select("t", "template", "amp").orderBy("t", "template", "amp").toLocalIterator(prefetchPartitions=True) if n else ()):
+        files["spike_times"][at], files["spike_templates"][at], files["spike_clusters"][at], files["amplitudes"][at] = r.t, r.template, r.template, r.amp
+    for x in files.values():
+        x.flush()
+    put("templates.npy", np.asarray(templates, np.float32))
+    put("similar_templates.npy", np.asarray(similarity, np.float32))
+    put("channel_map.npy", np.arange(len(positions), dtype=np.int32))
+    put("channel_positions.npy", np.asarray(positions, np.float64))
+    with open(os.path.join(folder, "params.py"), "w") as f:
+        f.write(f"dat_path = []\nn_channels_dat = {len(positions)}\nsample_rate = {float(rate)}\nhp_filtered = True\noffset = 0\n")

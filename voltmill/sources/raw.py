@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +48,22 @@ class RecordingReader(DataSourceReader):
         yield pa.record_batch(columns, names=names)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
 class ChunkWriter(DataSourceWriter):
     """A file of its own samples for each chunk, named by its start, put in place in one step: a task that runs again leaves the same files."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path, self.dtype = options["path"], np.dtype(options.get("dtype", "float32"))
         self.gain, self.offset = float(options.get("gain", 1)), float(options.get("offset", 0))
         os.makedirs(self.path, exist_ok=True)
+        self.stale = [n for n in os.listdir(self.path) if n.endswith(".dat")] if overwrite else []
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
+        done = []
         for row in rows:
             x = samples(row)[row.before : row.before + row.n] / np.float32(self.gain) + np.float32(self.offset)
             if self.dtype.kind in "iu":
@@ -64,7 +72,24 @@ class ChunkWriter(DataSourceWriter):
             with open(part, "wb") as f:
                 f.write(np.ascontiguousarray(x).astype(self.dtype).tobytes())
             os.replace(part, os.path.join(self.path, f"{row.t_start:020d}.dat"))
-        return WriterCommitMessage()
+            done.append(f"{row.t_start:020d}.dat")
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        """Chunks of an earlier recording go once the new ones are all in place."""
+        kept = {n for m in messages if m for n in m.names}
+        for name in set(self.stale) - kept:
+            os.remove(os.path.join(self.path, name))
+        self._sweep()
+
+    def abort(self, messages: list) -> None:
+        """What was put in place stays, as a new run puts the same there; halves go."""
+        self._sweep()
+
+    def _sweep(self) -> None:
+        for name in os.listdir(self.path):
+            if name.startswith("_") and "-" in name:
+                os.remove(os.path.join(self.path, name))
 
 
 class Recording(DataSource):
@@ -73,7 +98,8 @@ class Recording(DataSource):
     follow each other in time; a folder of .dat files is read in their order), layout (see ``layouts.READERS``), keep (channels,
     comma between), chunk, halo, and for raw_binary channels, dtype, header bytes, gain and offset. A torn last step is not read.
 
-    ``df.write.format("recording").mode("append")`` writes chunks without their halos into the folder ``path``; options dtype, gain, offset."""
+    ``df.write.format("recording").mode("append")`` writes chunks without their halos into the folder ``path``; options dtype, gain, offset.
+    ``mode("overwrite")`` removes the chunks of an earlier recording that the new one does not replace."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,7 +112,7 @@ class Recording(DataSource):
         return RecordingReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ChunkWriter:
-        return ChunkWriter(self.options)
+        return ChunkWriter(self.options, overwrite)
 
 
 def register(spark) -> None:
