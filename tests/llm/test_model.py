@@ -52,8 +52,8 @@ def step(v, m, weights, before, last, after, word, cls, number):
     p = z[cls] - np.log(np.exp(z - z.max()).sum()) - z.max()
     own = (number + 0.5) / v.mass[cls]
     total = p / math.log(10) + math.log10(own)
-    if after >= 0 and word >= 0:
-        total += weights.get(key(after, word), 0.0) + weights.get(key(after, lm.START + cls), 0.0)
+    if after >= 0:
+        total += weights.get(key(after, lm.START + cls), 0.0) + (weights.get(key(after, word), 0.0) if word >= 0 else 0.0)
     return total
 
 
@@ -86,15 +86,16 @@ def test_scores_token_by_token(spark, docs, monkeypatch, frequent, carried):
 def test_sums_to_one(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 20)
     v, m, weights, number, _ = parts(spark, docs)
-    known = set(v.hash.tolist())
-    rare = sum(n + 0.5 for h, n in number.items() if h not in known)
-    assert math.isclose(v.mass[v.own :].sum(), rare + 0.5 * v.other)
+    assert math.isclose(v.mass.sum(), sum(n + 0.5 for n in number.values()) + 0.5 * v.other, abs_tol=0.5 * v.own)  # an empty class has 0.5
     for before, last, after in ((v.symbols - 1, v.symbols - 1, lm.START), (0, 1, 0), (2, 0, 3), (5, 4, -1)):
         total = 0.0
         for w in range(len(v.hash)):
             total += 10 ** step(v, m, weights, before, last, after, w, int(v.cls[w]), int(v.count[w]))
-        for c in range(v.own, v.classes):  # the known and the unseen words of each other class
-            total += 10 ** step(v, m, weights, before, last, after, -1, c, v.mass[c] - 0.5)
+        for c in range(v.classes):  # what a class has besides the frequent words
+            held = sum(10 ** v.share[w] for w in range(len(v.hash)) if v.cls[w] == c)
+            rest = 1 - held if c >= v.own or not held else 0.0
+            if rest > 1e-12:
+                total += rest * 10 ** step(v, m, weights, before, last, after, -1, c, v.mass[c] - 0.5)
         assert math.isclose(total, 1, abs_tol=2e-4), (before, last, after, total)
 
 
@@ -105,6 +106,6 @@ def test_learns(spark, docs):
 
 
 def test_what_is_gathered_grows_with_the_vocabulary():
-    size = lambda d: lm.make_vocabulary(np.arange(1, 9, dtype=np.uint64), np.arange(1, 9), 36, d, {})
+    size = lambda d: lm.make_vocabulary(np.arange(1, 9, dtype=np.uint64), np.zeros(8, np.int64), np.arange(1, 9), 36, d, {})
     a, b, c = (size(d) for d in (10**3, 10**5, 10**7))
     assert a.classes < b.classes < c.classes and a.symbols < b.symbols <= c.symbols and a.rows < b.rows

@@ -1,11 +1,11 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word) = P(class | context) * P(word | class, last word). Frequent words of neighbouring frequency form classes; all other words
+P(word) = P(class | context) * P(word | class, last word). Words of neighbouring frequency form classes; seldom and unseen words
 belong to classes by what they begin with. The class features are the last word, the one before it (a skip) and both, the words as
 symbols of the contexts: the commonest by themselves, others by what they begin with, pairs hashed into rows. The feature of a word
 within its class is the n-gram of it and the last word: a word of count n has in its class the share p = (n + 0.5) / (the class's sum),
 which a weight w turns into p * exp(w) / Z, where Z = 1 + sum of p * (exp(w) - 1) over the pairs that have a weight. So only pairs
-that the corpus has twice or more cost anything, and the sum over all words is 1. A class of other words has besides its known words
+that the corpus has twice or more cost anything, and the sum over all words is 1. A class by beginning has besides its known words
 0.5 for all unseen ones together. Scores of different models of one text can thus be compared.
 
 What is gathered grows with the corpus: the word counts and the pairs' weights, one row for each different word and pair, lie in
@@ -38,6 +38,7 @@ START = 1 << BITS  # stands for the word before a text's first one
 FREQUENT = START
 #: Weights of pairs that travel to the tasks.
 CARRIED = 1 << 18
+SELDOM = 8
 UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
 DISCOUNT = 0.6  # taken from the count of a pair
@@ -85,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """The frequent words, sorted by hash, with their counts, classes and context symbols. ``share``: log10 of a word's share of its class.
 
-    ``own`` classes are of frequent words, ``other`` of all others by their beginning, whose sums are in ``mass``. Likewise the first
+    ``own`` classes are by frequency, ``other`` of all other words by their beginning; ``mass`` has the sums of n + 0.5 of all classes. Likewise the first
     ``words`` context symbols, and ``groups`` by beginning; the last symbol is what lies before a text.
     """
 
@@ -124,27 +125,32 @@ def _spread(begin: np.ndarray, n: int) -> np.ndarray:
     return (mix(begin.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def make_vocabulary(h: np.ndarray, n: np.ndarray, total: int, different: int, others: dict[int, float]) -> Vocabulary:
-    """From the frequent words, and for each beginning the sum of n + 0.5 over the other words."""
+def make_vocabulary(h: np.ndarray, begin: np.ndarray, n: np.ndarray, total: int, different: int, others: dict[int, float]) -> Vocabulary:
+    """From the frequent words, and for each beginning the sum of n + 0.5 over the other words.
+
+    Words of fewer than ``SELDOM`` tokens belong to the classes by beginning too, so these are met often enough to be learned about.
+    """
     order = np.argsort(h)
-    h, n = h[order], n[order]
+    h, begin, n = h[order], begin[order], n[order]
     size = np.log2(different + 2)
     classes = 1 << max(3, round(size / 3) - 1)
     own, other = max(1, classes * 3 // 4), max(1, classes // 4)
     symbols = 1 << max(5, min(12, round(size / 2) + 1))
     by_count = np.lexsort((h, -n))
     # bands of equal sums of the roots: common words are few in a class, and no class has nearly all words
-    root = np.sqrt(n[by_count])
+    root = np.where(n[by_count] >= SELDOM, np.sqrt(n[by_count]), 0.0)
     band = np.minimum(((np.cumsum(root) - root / 2) / max(root.sum(), 1e-9) * own).astype(np.int64), own - 1)
     cls, symbol = np.zeros(len(h), np.int64), np.full(len(h), -1)
     cls[by_count] = band
+    seldom = n < SELDOM
+    cls[seldom] = own + _spread(begin[seldom], other)
     top = by_count[: symbols * 3 // 4]
     symbol[top] = np.arange(len(top))
     mass = np.zeros(own + other)
     mass[own:] = 0.5
     np.add.at(mass, cls, n + 0.5)
-    for begin, sum_ in others.items():
-        mass[own + _spread(np.array([begin]), other)[0]] += sum_
+    for start, sum_ in others.items():
+        mass[own + _spread(np.array([start]), other)[0]] += sum_
     share = np.log10((n + 0.5) / mass[cls]) if len(h) else np.zeros(0)
     return Vocabulary(h, n, total, different, own, other, symbols * 3 // 4, symbols // 4, cls.astype(np.int32), symbol.astype(np.int32), share, np.maximum(mass, 0.5))
 
@@ -160,9 +166,9 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = b.bin
     frequent = bin >= least if least is not None else F.lit(False)
-    rows = counts.where(frequent).select("hash", "n").toArrow()
+    rows = counts.where(frequent).select("hash", "begin", "n").toArrow()
     rest = counts.where(~frequent).groupBy("begin").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect()
-    return make_vocabulary(rows["hash"].to_numpy().view(np.uint64), rows["n"].to_numpy(), int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), {r.begin: r.mass for r in rest})
+    return make_vocabulary(rows["hash"].to_numpy().view(np.uint64), rows["begin"].to_numpy().astype(np.int64), rows["n"].to_numpy(), int(sum(b.tokens for b in bins)), int(sum(b.words for b in bins)), {r.begin: r.mass for r in rest})
 
 
 def _encode(vocabulary):
@@ -451,9 +457,11 @@ def _score(vocabulary, model, carried):
                     classes = m.classes(*np.divmod(pair[a : a + CHUNK], len(m.last)))
                     at = order[low:high]
                     score[at] += classes[which[at] - a, t.cls[at]] / np.log(10)
-                both = np.flatnonzero(known & (t.after >= 0))
-                keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[both], START + t.cls[both])])
-                of = np.concatenate([both, both])
+                # a class's normaliser holds for all its words, a weight for those that have one
+                some = np.flatnonzero(t.after >= 0)
+                both = some[known[some]]
+                keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[some], START + t.cls[some])])
+                of = np.concatenate([both, some])
                 at = np.minimum(np.searchsorted(top.key, keys), max(len(top.key) - 1, 0))
                 here = top.key[at] == keys if len(top.key) else np.zeros(len(keys), bool)
                 sums = total(score) + np.bincount(row[of[here]], top.weight[at[here]].astype(np.float64), n)
