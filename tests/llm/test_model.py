@@ -52,8 +52,8 @@ def step(v, m, weights, before, last, after, word, cls, number):
     p = z[cls] - np.log(np.exp(z - z.max()).sum()) - z.max()
     own = (number + 0.5) / v.mass[cls]
     total = p / math.log(10) + math.log10(own)
-    if after >= 0:
-        total += weights.get(key(after, lm.START + cls), 0.0) + (weights.get(key(after, word), 0.0) if word >= 0 else 0.0)
+    if after >= 0 and word >= 0 and cls < v.own:
+        total += weights.get(key(after, lm.START + cls), 0.0) + weights.get(key(after, word), 0.0)
     return total
 
 
@@ -76,7 +76,7 @@ def test_scores_token_by_token(spark, docs, monkeypatch, frequent, carried):
                 cls, n, symbol = v.own + int(mix(np.array([beginning], np.uint64))[0] % np.uint64(v.other)), number.get(next(rare), 0), -1
             symbol = symbol if symbol >= 0 else v.words + int(mix(np.array([beginning], np.uint64))[0] % np.uint64(v.groups))
             total += step(v, m, weights, before, last, after, w, cls, n)
-            before, last, after = last, symbol, w if w >= 0 else -1
+            before, last, after = last, symbol, w if w >= 0 and cls < v.own else -1
         assert start == v.symbols - 1
         want.append((r.id, round(total, 4)))
     got = [(r.doc_id, round(r.score, 4)) for r in lm.score_texts(docs).collect()]

@@ -5,7 +5,7 @@ belong to classes by what they begin with. The class features are the last word,
 symbols of the contexts: the commonest by themselves, others by what they begin with, pairs hashed into rows. The feature of a word
 within its class is the n-gram of it and the last word: a word of count n has in its class the share p = (n + 0.5) / (the class's sum),
 which a weight w turns into p * exp(w) / Z, where Z = 1 + sum of p * (exp(w) - 1) over the pairs that have a weight. So only pairs
-that the corpus has twice or more cost anything, and the sum over all words is 1. A class by beginning has besides its known words
+that the corpus has twice or more, of words it has ``SELDOM`` times or more, cost anything, and the sum over all words is 1. A class by beginning has besides its known words
 0.5 for all unseen ones together. Scores of different models of one text can thus be compared.
 
 What is gathered grows with the corpus: the word counts and the pairs' weights, one row for each different word and pair, lie in
@@ -113,7 +113,7 @@ class Vocabulary:
 
     @property
     def rows(self) -> int:
-        return 1 << (4 * self.symbols).bit_length()
+        return 1 << (2 * self.symbols - 1).bit_length()
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, known)"""
@@ -135,7 +135,7 @@ def make_vocabulary(h: np.ndarray, begin: np.ndarray, n: np.ndarray, total: int,
     size = np.log2(different + 2)
     classes = 1 << max(3, round(size / 3) - 1)
     own, other = max(1, classes * 3 // 4), max(1, classes // 4)
-    symbols = 1 << max(5, min(12, round(size / 2) + 1))
+    symbols = 1 << max(5, min(12, round(size / 2)))
     by_count = np.lexsort((h, -n))
     # bands of equal sums of the roots: common words are few in a class, and no class has nearly all words
     root = np.where(n[by_count] >= SELDOM, np.sqrt(n[by_count]), 0.0)
@@ -206,7 +206,8 @@ def _numbers(part: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Tokens:
     """Of every token: its class, the context symbols of the two tokens before it, its position (negative if it is not frequent) and
-    ``after``: the last token's position, START before the first token, -1 if that is not frequent."""
+    ``after``: the last token's position, START before the first token, -1 if it is seldom. ``paired``: whether this word and the last one
+    may be a pair with a weight."""
 
     word: np.ndarray
     row: np.ndarray
@@ -214,6 +215,7 @@ class Tokens:
     last: np.ndarray
     before: np.ndarray
     after: np.ndarray
+    paired: np.ndarray
 
 
 def read_tokens(v: Vocabulary, part: pa.Array) -> Tokens:
@@ -233,10 +235,10 @@ def read_tokens(v: Vocabulary, part: pa.Array) -> Tokens:
     last, before, after = np.full(len(word), start), np.full(len(word), start), np.full(len(word), START)
     same = row[1:] == row[:-1]
     last[1:][same] = symbol[:-1][same]
-    after[1:][same] = np.where(word >= 0, word, -1)[:-1][same]
+    after[1:][same] = np.where(known & (cls < v.own), word, -1)[:-1][same]
     same = row[2:] == row[:-2]
     before[2:][same] = symbol[:-2][same]
-    return Tokens(word, row, cls, last, before, after)
+    return Tokens(word, row, cls, last, before, after, known & (cls < v.own) & (after >= 0))
 
 
 @dataclass
@@ -303,7 +305,7 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
     for update in range(UPDATES):
         now = spark.sparkContext.broadcast(single())
         size = sum(x.size for x in tables)
-        both = table_sum(train.where(F.col("part") == update).select("words"), 2 * size, _gradient(shared, now))
+        both = table_sum(train.where(F.col("part") == update).select("words"), 2 * size, _gradient(shared, now), kind=np.float32)
         now.destroy()  # a broadcast's files stay with every executor until then
         at = np.cumsum([0, *(x.size for x in tables)])
         for k, (weight, step) in enumerate(zip(tables, (0.5, 0.4, 0.5), strict=True)):
@@ -319,14 +321,14 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
 
 
 def _pairs(vocabulary):
-    """Counts of the n-grams of two frequent words, or of a text's start and one; key: the last word's position, then the word's."""
+    """Counts of the n-grams of two words that are not seldom, or of a text's start and one; key: the last word's position, then the word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, part in slices(batch.column("words")):
                 t = read_tokens(vocabulary.value, part)
-                both = (t.word >= 0) & (t.after >= 0)
+                both = t.paired
                 found.append(np.unique((t.after[both] << (BITS + 1)) | t.word[both], return_counts=True))
             if found:
                 key, _, n = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -457,11 +459,9 @@ def _score(vocabulary, model, carried):
                     classes = m.classes(*np.divmod(pair[a : a + CHUNK], len(m.last)))
                     at = order[low:high]
                     score[at] += classes[which[at] - a, t.cls[at]] / np.log(10)
-                # a class's normaliser holds for all its words, a weight for those that have one
-                some = np.flatnonzero(t.after >= 0)
-                both = some[known[some]]
-                keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[some], START + t.cls[some])])
-                of = np.concatenate([both, some])
+                both = np.flatnonzero(t.paired)
+                keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[both], START + t.cls[both])])
+                of = np.concatenate([both, both])
                 at = np.minimum(np.searchsorted(top.key, keys), max(len(top.key) - 1, 0))
                 here = top.key[at] == keys if len(top.key) else np.zeros(len(keys), bool)
                 sums = total(score) + np.bincount(row[of[here]], top.weight[at[here]].astype(np.float64), n)
