@@ -36,18 +36,23 @@ def _same(row: dict, x: np.ndarray) -> dict:
     return {**{k: [v] for k, v in row.items()}, "samples": [np.ascontiguousarray(x, np.float32).tobytes()]}
 
 
-def band_pass(chunks: DataFrame, order: int, low: float, high: float, rate: float, saturation: float | None = None, common: bool = False) -> DataFrame:
+def band_pass(chunks: DataFrame, order: int, low: float, high: float, rate: float, saturation: float | None = None, common: bool = False, shanks: list[list[int]] | None = None, grounds: dict[int, int] | None = None) -> DataFrame:
     """Chunks after a zero-phase Butterworth filter. Each channel's median over the chunk goes; steps beyond ``saturation`` become 0; with
-    ``common`` each step's median over the channels goes too. Halos are filtered like the rest and stay."""
+    ``common`` each step's median over the channels goes too, over each of ``shanks`` by itself where they are given. ``grounds`` names a
+    channel for others, whose signal is taken from theirs first. Halos are filtered like the rest and stay."""
     sections = kernels.butter(order, low, high, rate)
 
     def work(x, row):
+        ground = {c: x[:, g] for c, g in (grounds or {}).items()}
+        x = np.column_stack([x[:, c] - ground[c] if c in ground else x[:, c] for c in range(x.shape[1])])
         y = kernels.filtfilt(x, sections)
         own = y[row["before"] : row["before"] + row["n"]]
         y = y - np.median(own, axis=0)
         if saturation is not None:
             y[np.abs(x) >= saturation] = 0
-        return _same(row, y - np.median(y, axis=1, keepdims=True) if common else y)
+        for own in (shanks or [list(range(y.shape[1]))]) if common else []:
+            y[:, own] -= np.median(y[:, own], axis=1, keepdims=True)
+        return _same(row, y)
 
     return _by_chunk(chunks, SCHEMA, work)
 
@@ -193,3 +198,60 @@ def quota(points: DataFrame, n: int, by: str = "electrode", id: str = "point_id"
     """The bounded sample of each electrode that is clustered: the ``n`` points with the least hash of their id."""
     line = Window.partitionBy(by).orderBy(F.xxhash64(id), id)
     return points.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= n).drop("_r")
+
+
+def matched(chunks: DataFrame, wave: np.ndarray) -> DataFrame:
+    """Chunks convolved in time with a mean waveform, turned about and of unit weight: what a spike of that shape stands out in.
+    ``deviations`` of these give the thresholds. Halos must be half the waveform long or more."""
+    filter_ = wave[::-1] / (np.abs(wave.sum()) * len(wave) if wave.sum() else np.abs(wave).sum())
+    return _by_chunk(chunks, SCHEMA, lambda x, row: _same(row, np.column_stack([np.convolve(x[:, c], filter_, "same") for c in range(x.shape[1])])))
+
+
+def artefacts(chunks: DataFrame, triggers: DataFrame, tau: int, length: int) -> DataFrame:
+    """(label, lag, channel, v): the median of what follows the triggers (label, t) of each label, for ``tau`` steps. Halos must be that long."""
+    from . import robust
+
+    marked = triggers.withColumn("event_id", F.xxhash64("label", "t"))
+    waves = snippets(chunks, marked, 0, tau - 1, length).join(marked.select("event_id", "label"), "event_id")
+    values = waves.select("label", F.posexplode("waveform").alias("k", "w"))
+    placed = values.select("label", (F.col("k") % tau).alias("lag"), F.floor(F.col("k") / tau).cast("int").alias("channel"), F.col("w").cast("double").alias("w"))
+    return robust.median(placed, ["label", "lag", "channel"], "w", "v")
+
+
+def remove_artefacts(chunks: DataFrame, triggers: DataFrame, shapes: dict[int, np.ndarray], length: int) -> DataFrame:
+    """Chunks without the artefact (lag, channel) that follows each trigger (label, t). Triggers meet the chunks that their artefact reaches by
+    equality on the chunk's number; shapes are one for each label."""
+    reach = max((len(s) for s in shapes.values()), default=1)
+    at = F.sequence(F.floor(F.greatest(F.col("t") - reach, F.lit(0)) / length), F.floor((F.col("t") + reach) / length))
+    listed = triggers.where(F.col("label").isin(list(shapes))).select("label", "t", F.explode(at).alias("chunk_id")).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("triggers"))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["samples"], np.float32).reshape(-1, r["channels"]).copy()
+                for g in r["triggers"] or ():
+                    first = g["t"] - r["t_start"] + r["before"]
+                    a, b = max(first, 0), min(first + len(shapes[g["label"]]), len(x))
+                    if a < b:
+                        x[a:b] -= shapes[g["label"]][a - first : b - first].astype(np.float32)
+                names = ["chunk_id", "t_start", "n", "before", "channels"]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.record_batch([*(pa.array([r[n]], k) for n, k in zip(names, kinds, strict=True)), pa.array([x.tobytes()], pa.binary())], names=[*names, "samples"])
+
+    return chunks.join(listed, "chunk_id", "left").mapInArrow(run, SCHEMA)
+
+
+def silent_periods(crossed: DataFrame, steps: int, safety: int, least: int) -> DataFrame:
+    """(start, stop): stretches of ``least`` steps or more of a recording of ``steps`` that no crossing (t) comes nearer to than ``safety``; a
+    covariance of noise is taken there. The loud zones are coalesced in buckets and what lies between them is left."""
+    from pyspark.sql import Window
+
+    from . import joins
+
+    spark = crossed.sparkSession
+    ends = spark.createDataFrame([(-1, 0), (steps, steps + 1)], "start long, stop long")
+    loud = crossed.select((F.col("t") - safety).alias("start"), (F.col("t") + safety + 1).alias("stop")).unionByName(ends)
+    zones = joins.coalesce_intervals(loud, 1 << 20)
+    gaps = zones.select(F.col("stop").alias("start"), F.lead("start").over(Window.orderBy("start")).alias("stop"))  # one row for each zone
+    clipped = gaps.select(F.greatest("start", F.lit(0)).alias("start"), F.least("stop", F.lit(steps)).alias("stop"))
+    return clipped.where(F.col("stop") - F.col("start") >= least)

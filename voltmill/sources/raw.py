@@ -31,20 +31,29 @@ class RecordingReader(DataSourceReader):
         self.layout = layout(paths, form, options)
         self.keep = [int(c) for c in options["keep"].split(",")] if options.get("keep") else None
         self.chunk, self.halo = int(options.get("chunk", 1 << 16)), int(options.get("halo", 0))
+        self.start, self.stop, self.every = int(options.get("start", 0)), min(int(options.get("stop", self.layout.steps)), self.layout.steps), int(options.get("every", 1))
+        if self.start < 0 or self.every < 1 or self.every > 1 and self.halo:
+            raise ValueError("start must not be negative, every at least 1, and 1 where there is a halo")
 
     def partitions(self) -> list[Chunk]:
-        steps = self.layout.steps
-        return [Chunk(i, a, min(a + self.chunk, steps)) for i, a in enumerate(range(0, steps, self.chunk))]
+        """Only chunks of the range are planned, so nothing else is read."""
+        return [Chunk(i, a, min(a + self.chunk, self.stop)) for i, a in enumerate(range(self.start, self.stop, self.chunk))]
 
     def read(self, part: Chunk | None):
         if part is None:  # an empty recording has no chunks
             return
-        low, high = max(0, part.start - self.halo), min(self.layout.steps, part.stop + self.halo)
+        low, high = max(self.start, part.start - self.halo), min(self.stop, part.stop + self.halo)
         x = self.layout.read(low, high)
+        if self.every > 1:
+            first = -(part.start - self.start) % self.every
+            x = x[first :: self.every]
+            start = (part.start + first - self.start) // self.every
+        else:
+            start = part.start
         if self.keep is not None:
             x = x[:, self.keep]
         names = ["chunk_id", "t_start", "n", "before", "channels", "samples"]
-        columns = [pa.array([part.number]), pa.array([part.start]), pa.array([part.stop - part.start]), pa.array([part.start - low], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())]
+        columns = [pa.array([part.number]), pa.array([start]), pa.array([len(x) if self.every > 1 else part.stop - part.start]), pa.array([part.start - low], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())]
         yield pa.record_batch(columns, names=names)
 
 
@@ -96,7 +105,7 @@ class Recording(DataSource):
     """``spark.read.format("recording")``: a row for each chunk of ``chunk`` steps, its samples as float32 in C order (time, channel),
     ``before`` of them and up to ``halo`` after from the neighbours. Options: path (which executors can open; several, comma between,
     follow each other in time; a folder of .dat files is read in their order), layout (see ``layouts.READERS``), keep (channels,
-    comma between), chunk, halo, and for raw_binary channels, dtype, header bytes, gain and offset. A torn last step is not read.
+    comma between), chunk, halo, start and stop (steps; nothing outside is read), every (one step of so many, counted anew from 0), and for raw_binary channels, dtype, header bytes, gain and offset. A torn last step is not read.
 
     ``df.write.format("recording").mode("append")`` writes chunks without their halos into the folder ``path``; options dtype, gain, offset.
     ``mode("overwrite")`` removes the chunks of an earlier recording that the new one does not replace."""
