@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voltmill.functions import kernels
-from voltmill.operators import joins
+from voltmill.operators import joins, robust
 from voltmill.sources import probefile, raw
 from voltmill.streaming import windows
 
@@ -77,3 +77,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from t").collect()} == batch
+
+
+def test_medians_by_bracket(spark, monkeypatch):
+    """Groups far larger than the sketch, with ties, one value only, nulls and null keys; the bracket must hold the middle of each."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(robust, "FEW", 50)
+    monkeypatch.setattr(robust, "ACCURACY", 100)
+    values = {0: rng.normal(size=9000), 1: rng.integers(0, 4, 7001).astype(float), 2: np.full(3000, 2.5), 3: rng.exponential(size=40), None: rng.random(5000), 5: np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(0, None), (7, None)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k int, v double").repartition(5)
+    got = {r.k: r.m for r in robust.median(df, ["k"], "v", "m").collect()}
+    assert got == {k: np.median(v) for k, v in values.items()}
+    spread = {r.k: r.mad for r in robust.mad(df.where("k is not null"), ["k"], "v").collect()}
+    assert all(np.isclose(spread[k], np.median(np.abs(v - np.median(v)))) for k, v in values.items() if k is not None)

@@ -1,7 +1,7 @@
 """Robust statistics: medians, absolute deviations and what is subtracted by them.
 
 An exact median needs no sort of all values. A sketch of fixed size brackets the middle ranks of each group; one pass then counts
-the values below the bracket and those inside it, about a thousandth of the group, and only these are put in order.
+the values below the bracket and those inside it, about a two-hundredth of the group, and only these are put in order.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The sketch's rank error is the reciprocal of this share of a group, and the bracket reaches five times as far on both sides.
-ACCURACY = 10_000
+ACCURACY = 2_000
 #: A group of so few values is its own bracket.
 FEW = 4096
 
