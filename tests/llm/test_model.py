@@ -35,9 +35,8 @@ def parts(spark, docs):
     coded = materialise(plain.mapInArrow(lm._encode(shared), "id long, held_out boolean, row long, words binary, rare binary"))
     train = coded.where(~F.col("held_out")).select("words", F.pmod(F.xxhash64("row"), F.lit(lm.UPDATES)).alias("part"))
     model = lm._train_classes(train, shared, v)
-    pairs = train.select("words").mapInArrow(lm._pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    at = pairs["key"].to_numpy(np.int64)
-    key, weight, _ = lm.fit_pairs(v, at >> (lm.BITS + 1), at & (lm.START - 1), pairs["n"].to_numpy(np.int64))
+    at, n = lm._unpack(iter(train.select("words").mapInArrow(lm._pairs(shared, 3), lm._PACKED).toArrow().to_batches()))
+    key, weight, _ = lm.fit_pairs(v, at >> (lm.BITS + 1), at & (lm.START - 1), n)
     number = {int(h) % 2**64: n for h, n in counts.select("hash", "n").collect()}
     return v, model, dict(zip(key.tolist(), weight.tolist(), strict=True)), number, coded
 
@@ -109,3 +108,11 @@ def test_what_is_gathered_grows_with_the_vocabulary():
     size = lambda d: lm.make_vocabulary(np.arange(1, 9, dtype=np.uint64), np.zeros(8, np.int64), np.arange(1, 9), 36, d, {})
     a, b, c = (size(d) for d in (10**3, 10**5, 10**7))
     assert a.classes < b.classes < c.classes and a.symbols < b.symbols <= c.symbols and a.rows < b.rows
+
+
+def test_packed_pairs():
+    r = np.random.default_rng(1)
+    key, n = np.sort(r.choice(1 << 37, 5000, replace=False)), r.integers(1, 1 << 40, 5000)
+    got = lm._unpack(iter([lm._pack(key[::-1], n[::-1], key[::-1] % 7), lm._pack(key, n, key % 5), lm._pack(key[:0], n[:0], key[:0])]))
+    assert np.array_equal(got[0], key) and np.array_equal(got[1], 2 * n)
+    assert len(lm._unpack(iter([]))[0]) == 0

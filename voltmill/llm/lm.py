@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .shared import materialise, partitions
+from .shared import materialise, partitions, release
 from .sums import table_sum
 from .tokens import _LOWER, Words, mix, slices, words
 
@@ -37,7 +37,7 @@ BITS = 18
 START = 1 << BITS  # stands for the word before a text's first one
 FREQUENT = START
 #: Weights of pairs that travel to the tasks.
-CARRIED = 1 << 18
+CARRIED = 1 << 19
 SELDOM = 8
 UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
@@ -320,7 +320,39 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
     return single()
 
 
-def _pairs(vocabulary):
+_PACKED = "bucket int, size int, data binary"
+
+
+def _pack(key: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its sorted keys by their differences, and their counts, compressed byte plane by byte plane."""
+    order = np.lexsort((key, bucket))
+    key, n, bucket = key[order], n[order], bucket[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(key) else np.zeros(1, np.int64)
+    planes = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    data = [pa.compress(planes(np.diff(key[x:y], prepend=0), np.int64) + planes(n[x:y], np.int64), "zstd", asbytes=True) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.record_batch([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.diff(edges).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "size", "data"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n) of all rows, each key once. What has come is added up from time to time, so a task holds little more than its different keys."""
+    key, n, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        keys, _, sums = _distinct(np.concatenate([key, *(k for k, _ in held)]), np.concatenate([n, *(m for _, m in held)]))
+        return keys, sums
+
+    for batch in batches:
+        for size, data in zip(batch.column("size").to_pylist(), batch.column("data"), strict=True):
+            both = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=16 * size, codec="zstd", asbytes=True), np.uint8).reshape(2, 8, size)
+            step, count = (np.ascontiguousarray(x.T).view(np.int64).ravel() for x in both)
+            held.append((np.cumsum(step), count))
+        if sum(len(k) for k, _ in held) > max(1 << 20, len(key)):
+            key, n = added()
+            held = []
+    return added()
+
+
+def _pairs(vocabulary, buckets: int):
     """Counts of the n-grams of two words that are not seldom, or of a text's start and one; key: the last word's position, then the word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,35 +360,26 @@ def _pairs(vocabulary):
             found = []
             for _, part in slices(batch.column("words")):
                 t = read_tokens(vocabulary.value, part)
-                both = t.paired
-                found.append(np.unique((t.after[both] << (BITS + 1)) | t.word[both], return_counts=True))
+                found.append(np.unique((t.after[t.paired] << (BITS + 1)) | t.word[t.paired], return_counts=True))
             if found:
                 key, _, n = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
+                yield _pack(key, n, (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64))
 
     return run
 
 
-def _fold(vocabulary):
-    """Pairs that came once have no weight; they are sent on as their number for each last word and class, START + class in place of a word."""
+def _fold(vocabulary, buckets: int):
+    """Adds the counts of each pair up and deals the sums by last word. Pairs that came once have no weight; they are sent on as their number
+    for each last word and class, START + class in place of a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, once, held = vocabulary.value.cls.astype(np.int64), [], 0
-        out = lambda key, n: pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
-        folded = lambda: out(*_distinct(*(np.concatenate(x) for x in zip(*once, strict=True)))[::2])
-        for batch in batches:
-            key, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
-            single = n == 1
-            if (~single).any():
-                yield out(key[~single], n[~single])
-            word = key[single] & (START - 1)
-            once.append(((key[single] >> (BITS + 1) << (BITS + 1)) | (START + cls[word]), n[single]))
-            held += len(word)
-            if held > 1 << 20:
-                yield folded()
-                once, held = [], 0
-        if held:
-            yield folded()
+        key, n = _unpack(batches)
+        once = n == 1
+        cls = vocabulary.value.cls.astype(np.int64)[key[once] & (START - 1)] if once.any() else np.zeros(0, np.int64)
+        folded, _, number = _distinct((key[once] >> (BITS + 1) << (BITS + 1)) | (START + cls), n[once])
+        key, n = np.concatenate([key[~once], folded]), np.concatenate([n[~once], number])
+        if len(key):
+            yield _pack(key, n, (mix((key >> (BITS + 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
 
     return run
 
@@ -392,24 +415,13 @@ def fit_pairs(v: Vocabulary, after: np.ndarray, word: np.ndarray, n: np.ndarray)
 
 
 def _fit(vocabulary):
-    """Rows come in order of the key; a last word's pairs are worked on together, FREQUENT and a few for each class at most."""
+    """All pairs of a last word are in one task, FREQUENT and a few for each class at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.zeros(0, np.int64) for _ in range(2))
-
-        def done(key, n):
+        key, n = _unpack(batches)
+        if len(key):
             key, weight, n = fit_pairs(vocabulary.value, key >> (BITS + 1), key & (2 * START - 1), n)
-            return pa.record_batch([pa.array(key.view(np.int64)), pa.array(weight), pa.array(n)], names=["key", "weight", "n"])
-
-        for batch in batches:
-            if len(batch):
-                held = tuple(np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, ("key", "n"), strict=True))
-                whole = int(np.searchsorted(held[0], held[0][-1] >> (BITS + 1) << (BITS + 1)))
-                if whole > 1 << 17:
-                    yield done(*(x[:whole] for x in held))
-                    held = tuple(x[whole:] for x in held)
-        if len(held[0]):
-            yield done(*held)
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(weight), pa.array(n)], names=["key", "weight", "n"])
 
     return run
 
@@ -499,12 +511,14 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     coded = materialise(plain.mapInArrow(_encode(shared), f"id {kind}, held_out boolean, row long, words binary, rare binary"))
     train = coded.where(~F.col("held_out")).select("words", F.pmod(F.xxhash64("row"), F.lit(UPDATES)).alias("part"))
     model = share(_train_classes(train, shared, v))
-    pairs = train.select("words").mapInArrow(_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    folded = pairs.mapInArrow(_fold(shared), "key long, n long").repartition(partitions(spark), F.shiftright("key", BITS + 1))
-    fitted = folded.sortWithinPartitions("key").mapInArrow(_fit(shared), "key long, weight double, n long")
+    n = partitions(spark)
+    pairs = train.select("words").mapInArrow(_pairs(shared, n), _PACKED).repartitionById(n, F.col("bucket"))
+    folded = pairs.mapInArrow(_fold(shared, n), _PACKED).repartitionById(n, F.col("bucket"))
+    fitted = folded.mapInArrow(_fit(shared), "key long, weight double, n long")
     weights = materialise(fitted)
     carried = share(_carried(weights))
     scored = materialise(coded.mapInArrow(_score(shared, model, carried), f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>"))
+    release(coded)
     asked = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
     # a word counted lifts its score from that of an unseen one; a pair's weight has no part in the base score
     lifted = counts.select(F.col("hash").alias("key"), (F.log10(F.col("n") + 0.5) - float(np.log10(0.5))).alias("base"), F.lit(1).alias("known"))
