@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, partitions
+from .shared import materialise, partitions, release
 
 SAMPLE = 16384
 LISTS = 1024
@@ -220,6 +220,7 @@ def _nearest(clean: DataFrame, n: int, k: int, id: str, probed: float) -> DataFr
     found = found.unionByName(singles.mapInArrow(_seed(shared, k + 1), "qid long, id long, score double")).groupBy("qid", "id").agg(F.max("score").alias("score"))
     line = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     top = materialise(found.withColumn("at", F.row_number().over(line)).where(F.col("at") <= k + 1))
+    release(base, placed, probing)
     names = asked.select(F.col("id").alias("query_id"), "vec").join(singles, "vec").select("query_id", "qid")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = names.join(top, "qid").where("id <> query_id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, release
 
 #: The fit reads at most so many labelled documents, those with the least hash of their id.
 FIT_ROWS = 20_000
@@ -280,6 +280,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
         n = seen[:, -1].astype(int)
         if 0 < (seen[:, 0] * n).sum() < n.sum():
             weight = _logistic(np.repeat(_matrix(seen[:, 1:-1]), n, 0), np.repeat(seen[:, 0], n))
+    release(chosen, fit)
     own = {*FEATURES, "held_out", "score", "predicted", "_text"}
     keep = [c for c in docs.columns if c not in own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
