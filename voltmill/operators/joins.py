@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import materialise
+from .lineage import materialise, release
 
 
 def band(a: DataFrame, b: DataFrame, on: list[str], tolerance: int, strict: bool = True) -> DataFrame:
@@ -130,7 +130,8 @@ def safety(events: DataFrame, by: list[str], priority: str, tolerance: int, widt
         marked = materialise(marked)
         taken.append(marked.where("_first").select("event_id"))
         barred = halo(marked).withColumn("_barred", F.max("_first").over(around)).where(own)
-        rest = materialise(barred.where("not _barred").drop("_bucket", "_first", "_barred"))
+        rest, done = materialise(barred.where("not _barred").drop("_bucket", "_first", "_barred")), rest
+        release(done)
     found = taken[0] if taken else events.limit(0).select("event_id")
     for more in taken[1:]:
         found = found.unionByName(more)
