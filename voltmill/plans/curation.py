@@ -274,7 +274,7 @@ ALPHA = 1e-2
 def regularised_score(spark, sf):
     """The cost of each cut-off with a penalty on how much it leaves out."""
     width = F.col("k") / float(train_plans.CUTS)
-    return train_plans.mcc_score(spark, sf).select("k", r6(F.col("cost") + ALPHA * (1 - width) ** 2).alias("score"))
+    return train_plans.costs(spark, sf).select("k", r6(F.col("cost") + ALPHA * (1 - width) ** 2).alias("score"))
 
 
 @query(f"SELECT unit, round(least(1, 1 - fp / n), 6) AS purity FROM ({train_plans._TP})")

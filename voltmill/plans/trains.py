@@ -376,6 +376,12 @@ def _confusion(spark, sf):
     return summed.where(F.col("k") < CUTS).select("k", double("tp").alias("tp"), double("y - tp").alias("fn"), double("fp").alias("fp"), double("n - fp").alias("tn"))
 
 
+def costs(spark, sf):
+    """(k, cost): one minus the correlation of being accepted with being of the class, 1 where there is none."""
+    root = F.expr("sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")
+    return _confusion(spark, sf).select("k", F.coalesce(1 - F.expr("tp * tn - fp * fn") / F.nullif(root, F.lit(0.0)), F.lit(1.0)).alias("cost"))
+
+
 _CM = f"""(WITH e AS (SELECT yes, round(d, 6) AS d FROM {_MAHALANOBIS}), u AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM e)),
 c AS (SELECT k, d AS cut FROM u, (SELECT unnest(range({CUTS})) AS k) WHERE r = k * (n - 1) // {CUTS - 1})
 SELECT k, count(*) FILTER (yes AND d < cut)::DOUBLE AS tp, count(*) FILTER (yes AND d >= cut)::DOUBLE AS fn, count(*) FILTER (NOT yes AND d < cut)::DOUBLE AS fp, count(*) FILTER (NOT yes AND d >= cut)::DOUBLE AS tn FROM e, c GROUP BY k)"""
@@ -389,8 +395,7 @@ def roc_curve(spark, sf):
 
 @query(f"SELECT k, round(coalesce(1 - (tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 1), 6) AS cost FROM {_CM}")
 def mcc_score(spark, sf):
-    root = F.expr("sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))")
-    return _confusion(spark, sf).select("k", r6(F.coalesce(1 - F.expr("tp * tn - fp * fn") / F.nullif(root, F.lit(0.0)), F.lit(1.0))).alias("cost"))
+    return costs(spark, sf).select("k", r6("cost").alias("cost"))
 
 
 @query(f"SELECT k, round(tp / nullif(tp + fn, 0) / 2 + tn / nullif(tn + fp, 0) / 2, 6) AS accuracy FROM {_CM}")
