@@ -36,8 +36,8 @@ from .tokens import _LOWER, Words, mix, slices, words
 BITS = 18
 START = 1 << BITS  # stands for the word before a text's first one
 FREQUENT = START
-#: Weights of pairs that travel to the tasks.
-CARRIED = 1 << 19
+#: Weights of pairs that travel to the tasks: 24 MB.
+CARRIED = 1 << 21
 SELDOM = 8
 UPDATES = 3
 PULL = 4.0  # added to observed and expected counts
