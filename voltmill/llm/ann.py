@@ -153,8 +153,8 @@ def _assign(shared, probes: int | None, k: int, groups: int):
                 rows, group, lists = np.repeat(np.arange(len(u)), probes)[order], group.ravel()[order], lists.ravel()[order]
                 first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])])
                 packed = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(lists.astype(np.int32)))
-                at = pa.array(rows[first])
-                yield pa.record_batch([pa.array(group[first].astype(np.int32)), packed, part.column("qid").take(at), pa.array((2 + 2 * kth.astype(np.float64))[rows[first]]), part.column("vec").take(at)], names=["group", "lists", "qid", "limit", "vec"])
+                sent = pa.array(rows[first])
+                yield pa.record_batch([pa.array(group[first].astype(np.int32)), packed, part.column("qid").take(sent), pa.array((2 + 2 * kth.astype(np.float64))[rows[first]]), part.column("vec").take(sent)], names=["group", "lists", "qid", "limit", "vec"])
 
     return run
 
