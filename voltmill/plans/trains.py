@@ -212,7 +212,7 @@ _TREND = f"(SELECT *, avg(amp) OVER (PARTITION BY unit ORDER BY t, event_id ROWS
 @query(f"SELECT event_id, unit, CASE WHEN amp >= trend THEN 1 ELSE 0 END AS part FROM {_TREND}")
 def trend_split(spark, sf):
     w = trains.line().rowsBetween(-10, 10)
-    return events(spark, sf).select("event_id", "unit", (F.col("amp") >= F.avg("amp").over(w)).cast("int").alias("part"))
+    return events(spark, sf).select("event_id", "unit", F.when(F.col("amp") >= F.avg("amp").over(w), 1).otherwise(0).alias("part"))
 
 
 _ZONES = f"(SELECT t AS start, t + {ZONE} AS stop FROM {EV} WHERE channel = 'error')"
