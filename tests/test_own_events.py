@@ -38,3 +38,27 @@ def test_trend_of_null_values(both):
     events[::7] = [(s, u, c, None) for s, u, c, _ in events[::7]]
     mine, other = both("trend_split", events)
     assert mine == other
+
+
+PAIRS = ["crosscorrelogram", "cc_dip_score", "joint_activity", "bhatta_hist", "pair_suggestion", "drift_suggestion"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_over_many_tiles_and_chunks(both, monkeypatch, name):
+    """Units far apart in time, units that meet in few bins, null units and times, and tiles of some units."""
+    from voltmill.operators import pairs  # the pairs of all units by tiles
+
+    for what, n in (("UNITS", 7), ("ROWS", 60)):
+        monkeypatch.setattr(pairs, what, n)
+    events = made(900, 40, days=25.0)
+    events += [(s + 86400 * 200, u + 30, c, v) for s, u, c, v in made(200, 25, days=8.0, seed=6)]
+    events += [(s + 86400 * 123, u + 20, c, v) for s, u, c, v in made(400, 25, days=10.0, seed=7)]  # bins on both sides of a chunk's end
+    events += [(86400.0 * d + 30000 * k, 300 + u, "view", 1.0) for u in (0, 1) for d in range(10) for k in (0, 1)]
+    events += [(86400 * 90.0, 99, "view", 1.0), (86400.0 * 3, None, "view", 1.0)]
+    mine, other = both(name, events)
+    assert len(mine) == len(other) > 0
+    assert all(x == pytest.approx(y, abs=2e-6) for x, y in zip(mine, other, strict=True))
+
+
+def test_pairs_of_no_events(both):
+    assert both("crosscorrelogram", []) == ([], [])
