@@ -196,8 +196,13 @@ _P = f"(SELECT unit, d, n / sum(n) OVER (PARTITION BY unit) AS p FROM {_HIST})"
 
 @query(f"SELECT a.unit AS i, b.unit AS j, round(sum(sqrt(a.p * b.p)), 6) AS bhatta FROM {_P} a JOIN {_P} b ON a.d = b.d AND a.unit < b.unit GROUP BY 1, 2")
 def bhatta_hist(spark, sf):
-    p = _daily(spark, sf).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("unit"))).drop("n")
-    return trains.unit_pairs(p, "d").groupBy("i", "j").agg(r6(F.sum(F.sqrt(F.col("p") * F.col("j_p")))).alias("bhatta"))
+    return bhattas(_daily(spark, sf)).select("i", "j", r6("bhatta").alias("bhatta"))
+
+
+def bhattas(daily):
+    """(i, j, bhatta) of units by the shares of their events in each day."""
+    p = daily.select("unit", F.col("d").alias("at"), F.sqrt(F.col("n") / F.sum("n").over(Window.partitionBy("unit"))).alias("value"))
+    return pairs.pairs(p, lambda a, b: (a @ b.T)[None], ["bhatta"], kind="double")
 
 
 @query(f"WITH m AS (SELECT channel, min(amp) AS lo, (max(amp) - min(amp)) / 50 AS w FROM {EV} GROUP BY channel) SELECT channel, least(floor((amp - lo) / w), 49)::BIGINT AS bin, count(*) AS n FROM {EV} JOIN m USING (channel) WHERE w > 0 GROUP BY 1, 2")
