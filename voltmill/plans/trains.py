@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -183,8 +184,9 @@ _HIST = f"(SELECT unit, t // {DAY} AS d, count(*) AS n FROM {EV} GROUP BY ALL)"
 
 @query(f"SELECT a.unit AS i, b.unit AS j, count(*) AS days, sum(a.n)::BIGINT AS n_i, sum(b.n)::BIGINT AS n_j FROM {_HIST} a JOIN {_HIST} b ON a.d = b.d AND a.unit < b.unit GROUP BY 1, 2")
 def joint_activity(spark, sf):
-    both = trains.unit_pairs(_daily(spark, sf), "d")
-    return both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("n_i"), F.sum("j_n").alias("n_j"))
+    table = _daily(spark, sf).select("unit", F.col("d").alias("at"), F.col("n").alias("value"))
+    product = lambda a, b: np.stack([(a > 0) * 1.0 @ (b > 0).T, a @ (b > 0).T, (a > 0) * 1.0 @ b.T])
+    return pairs.pairs(table, product, ["days", "n_i", "n_j"], turned=[0, 2, 1])
 
 
 def _daily(spark, sf):
