@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trains
+from .pairs import near_and_all
 
 
 def scores(spikes: DataFrame, pairs: DataFrame, width: int, lags: int, period: int) -> DataFrame:
     """(i, j, similarity, dip, rpv) of ``pairs`` (i, j, similarity) of units of ``spikes`` (event_id, unit, t): how far the middle of their
     correlogram lies under its mean, and the share of intervals under ``period`` that both together would have."""
-    counts = trains.cross_correlogram(trains.bins(spikes, width), lags)
-    near = F.sum(F.when(F.abs("lag") <= 1, F.col("n")).otherwise(0)) / 3
-    dips = counts.groupBy("i", "j").agg(F.greatest(1 - near / (F.sum("n") / (2 * lags + 1)), F.lit(0.0)).alias("dip"))
+    counts = near_and_all(trains.bins(spikes, width), lags, 1)
+    dips = counts.select("i", "j", F.greatest(1 - F.col("near") / 3 / (F.col("n") / (2 * lags + 1)), F.lit(0.0)).alias("dip"))
     named = pairs.select("i", "j", F.explode(F.array("i", "j")).alias("unit"))
     both = spikes.join(named, "unit").select(F.struct("i", "j").alias("unit"), "t", "event_id")
     rpv = trains.violation_ratio(both, period).select("unit.i", "unit.j", "rpv")
