@@ -250,11 +250,17 @@ def _rated(pairs, spark, sf):
     return pairs.join(rpv.toDF("i", "rpv_i"), "i").join(rpv.toDF("j", "rpv_j"), "j")
 
 
+def _kept(table, spark, sf):
+    """The rows of ``table`` whose units keep their refractory time."""
+    rpv = trains.violation_ratio(events(spark, sf), train_plans.REFRACTORY).where("rpv < 0.1").select("unit")
+    return table.join(rpv, "unit", "left_semi")
+
+
 @query(f"SELECT i, j, round(dip, 6) AS score FROM {_DIP} JOIN {_RATIO} a ON a.unit = i JOIN {_RATIO} b ON b.unit = j WHERE dip > 0.3 AND a.rpv < 0.1 AND b.rpv < 0.1")
 def pair_suggestion(spark, sf):
     """Units to be merged: their correlogram dips in the middle and each keeps its refractory time."""
-    pairs = train_plans.cc_dip_score(spark, sf).where("dip > 0.3")
-    return _rated(pairs, spark, sf).where("rpv_i < 0.1 and rpv_j < 0.1").select("i", "j", F.col("dip").alias("score"))
+    pairs = train_plans.dips(_kept(events(spark, sf), spark, sf)).where("dip > 0.3")
+    return pairs.select("i", "j", r6("dip").alias("score"))
 
 
 _BHATTA = f"(SELECT a.unit AS i, b.unit AS j, sum(sqrt(a.p * b.p)) AS bhatta FROM {train_plans._P} a JOIN {train_plans._P} b ON a.d = b.d AND a.unit < b.unit GROUP BY 1, 2)"
