@@ -244,12 +244,6 @@ _DIP = f"(SELECT i, j, greatest(1 - (sum(n) FILTER (abs(lag) <= 1) / 3.0) / null
 _RATIO = f"({train_plans._RPV})"
 
 
-def _rated(pairs, spark, sf):
-    """Pairs with the violation ratios of both units."""
-    rpv = trains.violation_ratio(events(spark, sf), train_plans.REFRACTORY).select("unit", "rpv")
-    return pairs.join(rpv.toDF("i", "rpv_i"), "i").join(rpv.toDF("j", "rpv_j"), "j")
-
-
 def _kept(table, spark, sf):
     """The rows of ``table`` whose units keep their refractory time."""
     rpv = trains.violation_ratio(events(spark, sf), train_plans.REFRACTORY).where("rpv < 0.1").select("unit")
@@ -269,8 +263,8 @@ _BHATTA = f"(SELECT a.unit AS i, b.unit AS j, sum(sqrt(a.p * b.p)) AS bhatta FRO
 @query(f"SELECT i, j, round(bhatta, 6) AS bhatta FROM {_BHATTA} JOIN {_RATIO} a ON a.unit = i JOIN {_RATIO} b ON b.unit = j WHERE round(bhatta, 6) > 0.9 AND a.rpv < 0.1 AND b.rpv < 0.1")
 def drift_suggestion(spark, sf):
     """Units whose days of activity are alike and that each keep their refractory time."""
-    pairs = train_plans.bhatta_hist(spark, sf).where("bhatta > 0.9")
-    return _rated(pairs, spark, sf).where("rpv_i < 0.1 and rpv_j < 0.1").select("i", "j", "bhatta")
+    pairs = train_plans.bhattas(_kept(train_plans._daily(spark, sf), spark, sf))
+    return pairs.select("i", "j", r6("bhatta").alias("bhatta")).where("bhatta > 0.9")
 
 
 ALPHA = 1e-2
