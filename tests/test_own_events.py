@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltmill import catalogue
 
@@ -62,3 +63,23 @@ def test_pairs_over_many_tiles_and_chunks(both, monkeypatch, name):
 
 def test_pairs_of_no_events(both):
     assert both("crosscorrelogram", []) == ([], [])
+
+
+@pytest.mark.parametrize("name", ["trigger_median_artefact", "artefact_subtract", "raster_repeats"])
+def test_around_triggers(both, name):
+    """Lags on the edges, equal times, null values and channels, a channel without values, and an even number of values."""
+    events = [(600.0 * k, k % 5, c, float(k * k % 37) / 4) for k in range(30) for c in ("purchase", "view", "purchase")]
+    events += made(500, 9, days=0.3) + [(100.0, 1, None, 4.0), (700.0, 1, "view", None), (50.0, 1, "dull", None), (-5000.0, 1, "purchase", -7.5)]
+    mine, other = both(name, events)
+    assert len(mine) == len(other) > 0
+    assert all(x == pytest.approx(y, abs=2e-6) for x, y in zip(mine, other, strict=True))
+
+
+def test_an_artefact_makes_no_pairs(spark):
+    """A thousand events and a thousand triggers at one time are counted, not paired."""
+    from voltmill.operators import joins
+
+    e = spark.range(1000).select("id", (F.col("id") % 2 + 7).alias("t"))
+    found = joins.lag_counts(e, e, [0, 1, 2])
+    assert {(r.t, *r.counts) for r in found.collect()} == {(7, 500, 0), (8, 500, 500)}
+    assert " Join" not in found._jdf.queryExecution().optimizedPlan().toString()

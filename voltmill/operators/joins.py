@@ -6,6 +6,9 @@ buckets that its partners may lie in, and the buckets are joined by equality.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,31 @@ def around(events: DataFrame, triggers: DataFrame, before: int, after: int) -> D
     return keyed.join(wide, "_bucket").withColumn("lag", F.col("t") - F.col("trigger_t")).where(F.col("lag").between(-before, after)).drop("_bucket")
 
 
+def lag_counts(events: DataFrame, triggers: DataFrame, edges: list[int]) -> DataFrame:
+    """``events`` with ``counts``: how many triggers lie by at least ``edges[k]`` and less than ``edges[k + 1]`` before each, for every k.
+
+    The pairs that ``around`` would give are counted and not made: the triggers in reach of a bucket are put in order once, and a count is
+    the difference of two places in that order.
+    """
+    width = max(1, edges[-1] - edges[0])
+    keyed = events.where("t is not null").withColumn("_bucket", F.floor(F.col("t") / width)).withColumn("_own", F.lit(True))
+    reach = F.sequence(F.floor((F.col("t") + edges[0]) / width), F.floor((F.col("t") + edges[-1]) / width))
+    wide = triggers.where("t is not null").select("t", F.lit(False).alias("_own"), F.explode(reach).alias("_bucket"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("_own")
+        mine = table.filter(own).drop_columns(["_bucket", "_own"])
+        at = np.sort(table.filter(pc.invert(own)).column("t").to_numpy())
+        t = mine.column("t").to_numpy()
+        upto = np.stack([np.searchsorted(at, t - e, side="right") for e in edges], axis=1)  # triggers at least e before
+        counts = (upto[:, :-1] - upto[:, 1:]).astype(np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * counts.shape[1], pa.array(counts.ravel()))
+        return mine.append_column("counts", lists)
+
+    return keyed.unionByName(wide, allowMissingColumns=True).groupBy("_bucket").applyInArrow(run, f"{kinds}, counts array<long>")
+
+
 def safety(events: DataFrame, by: list[str], priority: str, tolerance: int, width: int) -> DataFrame:
     """The events that are taken one after another by falling ``priority``, then time, then event_id, each of which bars all others of its
     key less than ``tolerance`` away.

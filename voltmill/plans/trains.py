@@ -291,18 +291,21 @@ _ART = f"SELECT channel, (e.t - g.t) // {10 * MINUTE} AS tau, median(amp) AS art
 
 
 def _artefact(spark, sf):
-    near = joins.around(events(spark, sf), _triggers(spark, sf), 0, HOUR).withColumn("tau", F.floor(F.col("lag") / (10 * MINUTE)))
-    return near, robust.median(near, ["channel", "tau"], "amp", "artefact")
+    """(channel, tau, artefact), from counts of the triggers before each event, not from pairs. A lag of ``HOUR`` itself is a tau of its own."""
+    edges = [*range(0, HOUR + 1, 10 * MINUTE), HOUR + 1]
+    near = joins.lag_counts(events(spark, sf).select("channel", "t", "amp"), _triggers(spark, sf), edges)
+    return robust.weighted_medians(near, ["channel"], "amp", "counts", "artefact").withColumn("tau", F.col("k").cast("long"))
 
 
 @query(f"SELECT channel, tau, round(artefact, 6) AS artefact FROM ({_ART})")
 def trigger_median_artefact(spark, sf):
-    return _artefact(spark, sf)[1].select("channel", "tau", r6("artefact").alias("artefact"))
+    return _artefact(spark, sf).select("channel", "tau", r6("artefact").alias("artefact"))
 
 
 @query(f"SELECT g.event_id AS repeat, e.event_id, round(amp - artefact, 6) AS cleaned FROM {EV} e JOIN {_TRIG} g ON e.t - g.t BETWEEN 0 AND {HOUR} JOIN ({_ART}) a ON a.channel = e.channel AND a.tau = (e.t - g.t) // {10 * MINUTE}")
 def artefact_subtract(spark, sf):
-    near, art = _artefact(spark, sf)
+    near = joins.around(events(spark, sf), _triggers(spark, sf), 0, HOUR).withColumn("tau", F.floor(F.col("lag") / (10 * MINUTE)))
+    art = _artefact(spark, sf).select("channel", "tau", "artefact")
     return near.join(art, ["channel", "tau"]).select(F.col("trigger_event_id").alias("repeat"), "event_id", r6(F.col("amp") - F.col("artefact")).alias("cleaned"))
 
 
