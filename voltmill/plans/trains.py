@@ -305,7 +305,7 @@ def trigger_median_artefact(spark, sf):
 @query(f"SELECT g.event_id AS repeat, e.event_id, round(amp - artefact, 6) AS cleaned FROM {EV} e JOIN {_TRIG} g ON e.t - g.t BETWEEN 0 AND {HOUR} JOIN ({_ART}) a ON a.channel = e.channel AND a.tau = (e.t - g.t) // {10 * MINUTE}")
 def artefact_subtract(spark, sf):
     near = joins.around(events(spark, sf), _triggers(spark, sf), 0, HOUR).withColumn("tau", F.floor(F.col("lag") / (10 * MINUTE)))
-    art = _artefact(spark, sf).select("channel", "tau", "artefact")
+    art = F.broadcast(_artefact(spark, sf).select("channel", "tau", "artefact"))  # seven rows for each channel
     return near.join(art, ["channel", "tau"]).select(F.col("trigger_event_id").alias("repeat"), "event_id", r6(F.col("amp") - F.col("artefact")).alias("cleaned"))
 
 
