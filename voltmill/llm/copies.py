@@ -6,8 +6,9 @@ prefixes: with the shingles of every document in one order, a pair that similar
 lesser k of the two (``shared``), and none is missed. The order puts shingles last that fall into crowded counters of a table of fixed size; any order gives the same result, this one keeps
 common passages out of the prefixes. Each candidate is verified on the whole sets.
 
-Documents of equal sets are one node. Nodes that meet are first held against the least of each meeting, and only nodes that this
-leaves unconnected are compared pair by pair: a large group of copies of one text costs a star and not all its pairs.
+Documents of equal sets are one node. Nodes are first linked by the SimHash pivot tables of ``simhash``, and these links verified. Then
+nodes that meet and are not connected yet are held against the least of each meeting. What this leaves unconnected is compared pair by
+pair inside a key, by signatures that travel with the nodes, and only pairs leave that may be similar.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import materialise, partitions, release
 from .sums import table_sum
@@ -27,6 +29,9 @@ from .tokens import mix, slices, window_hashes, words
 WIDTH = 5
 SIMILAR = (4, 5)  # a similarity of 0.8, in whole numbers
 COUNTERS = 1 << 20
+LEAST_BITS = 512  # of a parity bitmap
+SMALL = 128  # shingles of a set that is sent whole
+PAIRS = 1 << 16  # that a task holds before it sends them
 _SHIFT = np.uint64(44)
 _MET = "key long, node long, size int, hub long, hub_size int"
 
@@ -114,23 +119,99 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x[met]) for x in columns], names=["key", "node", "size", "hub", "hub_size"])
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of different roots that meet, how often, and how often they must; sizes that rule the similarity out are left."""
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that have more than one root."""
     key, node, size, root = _columns(batches, ["key", "node", "size", "root"])
-    order = np.lexsort((size, key))
+    order = np.lexsort((root, key))
     key, node, size, root = key[order], node[order], size[order], root[order]
-    (num, den), i, step = SIMILAR, np.arange(len(key)), 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(key)]
-        j = i + step
-        near = (key[i] == key[j]) & (den * size[i] >= num * size[j])  # sizes grow, so a later j is no nearer
-        i, j = i[near], j[near]
-        pair = root[i] != root[j]
-        if pair.any():
-            x, y = node[i[pair]], node[j[pair]]
-            both, n = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), shared(size[i[pair]])], axis=1), axis=0, return_counts=True)
-            yield pa.record_batch([*(pa.array(both[:, k].copy()) for k in range(3)), pa.array(n.astype(np.int64))], names=["a", "b", "need", "n"])
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    last = np.r_[first[1:], len(key)][: len(first)] - 1
+    open_ = np.repeat(root[first] != root[last], last + 1 - first)
+    columns = (key, node, size.astype(np.int32), root)
+    yield pa.record_batch([pa.array(x[open_]) for x in columns], names=["key", "node", "size", "root"])
+
+
+def _bits(size):
+    """The length of the parity bitmap of a set: its size or more, a power of two."""
+    return max(LEAST_BITS, 1 << (int(size) - 1).bit_length())
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bitmap, set): each bit says whether an odd number of shingles falls on it; sets of ``SMALL`` shingles at most go along whole."""
+    for batch in batches:
+        for begin, part in slices(batch.column("text")):
+            value, row = shingles(part)
+            first = np.searchsorted(row, np.arange(len(part) + 1))
+            maps, sets = [], []
+            for x, y in zip(first[:-1], first[1:], strict=True):
+                n = _bits(y - x)
+                odd = np.bincount((value[x:y] & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                sets.append(value[x:y].tobytes() if y - x <= SMALL else None)
+            yield pa.record_batch([batch.column("node").slice(begin, len(part)), pa.array(maps, pa.binary()), pa.array(sets, pa.binary())], names=["node", "bitmap", "set"])
+
+
+def _alike(x: bytes, y: bytes, size: int) -> bool:
+    """Whether two sets of ``size`` shingles together are similar."""
+    both = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
+    return sum(SIMILAR) * int((both[1:] == both[:-1]).sum()) >= SIMILAR[0] * size
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, known) of nodes of different roots that meet and may be similar; ``known`` ones are.
+
+    Two sets differ in at least as many shingles as their parity bitmaps in bits, so a larger difference than similar sets can have
+    rules a pair out. Of sets that are here whole only the links of a forest leave, once they are found similar.
+    """
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    found = pa.Table.from_batches(held).combine_chunks().sort_by([("key", "ascending"), ("size", "ascending")])
+    key, node, size, root = (found.column(c).to_numpy() for c in ("key", "node", "size", "root"))
+    maps, sets = found.column("bitmap"), found.column("set")
+    (num, den), edges = SIMILAR, np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    out = []
+
+    def send() -> pa.RecordBatch:
+        pairs = np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
+        out.clear()
+        return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] == 1)], names=["a", "b", "known"])
+
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        _, label = np.unique(root[x:y], return_inverse=True)
+        if label.max() == 0:
+            continue
+        own, held = size[x:y].astype(np.int64), sets.slice(x, y - x).to_pylist()
+        whole = np.array([z is not None for z in held])
+        laid: dict[int, np.ndarray] = {}
+        raw, length = [np.frombuffer(z, np.uint64) for z in maps.slice(x, y - x).to_pylist()], np.array([_bits(n) for n in own])
+        for bits in np.unique(length):  # larger ones are folded down to the shorter of a pair
+            rows = np.zeros((y - x, bits // 64), np.uint64)
+            for k in np.flatnonzero((length == bits) | (length == 2 * bits)):
+                rows[k] = np.bitwise_xor.reduce(raw[k].reshape(-1, bits // 64), axis=0)
+            laid[int(bits)] = rows
+        for i in range(y - x - 1):
+            stop = int(np.searchsorted(own, own[i] * den // num, side="right"))  # sizes grow
+            j = np.arange(i + 1, stop)
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            rows = laid[int(length[i])]
+            together = own[i] + own[j]
+            differ = together + 2 * (-num * together // (num + den))
+            j = j[np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64) <= differ]
+            for k in j.tolist():
+                if label[i] == label[k]:
+                    continue
+                known = bool(whole[i] and whole[k])
+                if known and not _alike(held[i], held[k], int(own[i] + own[k])):
+                    continue
+                if known:
+                    label[label == label[k]] = label[i]
+                out.append((min(node[x + i], node[x + k]), max(node[x + i], node[x + k]), known))
+            if len(out) >= PAIRS:
+                yield send()
+    yield send()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +251,17 @@ def _roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _by_fingerprint(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the SimHash pivot tables link: stars of equal fingerprints, and of those within two bits."""
+    own = texts.join(nodes.select("row"), "row", "left_semi").select("node", "text")
+    prints = materialise(simhash.fingerprints(own))
+    least = materialise(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = prints.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    near = near.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return materialise(equal.unionByName(near))
+
+
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``texts`` (row, node, text) with the similarity. ``nodes`` names one row of each node."""
     spark = texts.sparkSession
@@ -179,14 +271,25 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     met = materialise(prefixes.repartition(n, "key").mapInArrow(_meet, _MET))
     num, den = SIMILAR
     alike = den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")
+    near = _verified(_by_fingerprint(texts, nodes), texts, nodes)
     counted = met.where(alike & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.floor(F.least("size", "hub_size") / 20) + 1).alias("need"))
-    # a hub is not the hub of every key: pairs that this leaves out are counted in full below
-    stars = materialise(counted.where("n >= need").select("a", "b"))
-    near = _verified(stars, texts, nodes)
+    linked = components(near)
+    of = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met_often = materialise(counted.where("n >= need").select("a", "b"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    stars = materialise(met_often.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
+    release(met_often)
+    # a hub is not the hub of every key: what this leaves out is compared below
+    near = near.unionByName(_verified(stars, texts, nodes))
     rooted = _roots(met.select("key", "node", "size"), near)
-    pairs = rooted.repartition(n, "key").mapInArrow(_unconnected, "a long, b long, need long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    rest = pairs.where("n >= need").select("a", "b").join(stars, ["a", "b"], "left_anti")
-    return near.unionByName(_verified(materialise(rest), texts, nodes))
+    rest = materialise(rooted.repartition(n, "key").mapInArrow(_unsettled, "key long, node long, size int, root long"))
+    release(met)
+    rows = nodes.join(rest.select("node").distinct(), "node", "left_semi").select("row")
+    signed = materialise(texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(_signatures, "node long, bitmap binary, set binary"))
+    pairs = materialise(rest.join(signed, "node").repartition(n, "key").mapInArrow(_open_pairs, "a long, b long, known boolean"))
+    release(rest, signed)
+    asked = materialise(pairs.where("not known").select("a", "b").distinct())
+    return near.unionByName(pairs.where("known").select("a", "b")).unionByName(_verified(asked, texts, nodes))
 
 
 def _with_nodes(docs: DataFrame, text: str) -> DataFrame:
