@@ -46,3 +46,20 @@ def test_the_stage_links_by_the_pivot_tables_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *a: called.append(1) or links(*a))
     corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(changed(5, 60, 4), SCHEMA), "").count()
     assert called
+
+
+def test_larger_sets_leave_stars_and_not_their_pairs():
+    """A key of n sets that do not travel whole gives n - 1 rows at most, whatever may be similar there."""
+    texts = pa.array([x[1] for x in changed(150, 300, 16) if x[0] < 5000])
+    signed = next(copies._signatures(iter([pa.record_batch([pa.array(np.arange(len(texts))), texts], names=["node", "text"])])))
+    sizes = [len(copies.shingles(texts.slice(i, 1))[0]) for i in range(len(texts))]
+    rows = pa.record_batch([pa.array(np.zeros(150, np.int64)), signed.column("node"), pa.array(sizes, pa.int32()), signed.column("node"), *signed.columns[1:]], names=["key", "node", "size", "root", "bitmap", "set"])
+    found = next(copies._open_pairs(iter([rows])))
+    assert 20 < found.num_rows < 150 and not any(found.column("known").to_pylist())
+
+
+def test_a_group_in_many_blocks_is_linked_alike(spark, monkeypatch):
+    rows = changed(60, 300, 30)
+    monkeypatch.setattr(copies, "BLOCK", 9)
+    kept = copies.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == brute(rows)

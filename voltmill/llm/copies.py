@@ -7,8 +7,10 @@ lesser k of the two (``shared``), and none is missed. The order puts shingles la
 common passages out of the prefixes. Each candidate is verified on the whole sets.
 
 Documents of equal sets are one node. Nodes are first linked by the SimHash pivot tables of ``simhash``, and these links verified. Then
-nodes that meet and are not connected yet are held against the least of each meeting. What this leaves unconnected is compared pair by
-pair inside a key, by signatures that travel with the nodes, and only pairs leave that may be similar.
+nodes that meet and are not connected yet are held against the least of each meeting. What this leaves unconnected is compared
+inside a key, by signatures that travel with the nodes: small sets exactly, of larger ones the nodes that may be similar make a star.
+What the stars connect is a group, to which each set goes once and is compared exactly. So rows grow with the nodes that meet and
+not with their pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ COUNTERS = 1 << 20
 LEAST_BITS = 512  # of a parity bitmap
 SMALL = 128  # shingles of a set that is sent whole
 PAIRS = 1 << 16  # that a task holds before it sends them
+BLOCK = 1 << 10  # nodes of a group that are compared in one task, and
+BLOCK_BYTES = 1 << 24  # of their sets
 _SHIFT = np.uint64(44)
 _MET = "key long, node long, size int, hub long, hub_size int"
 
@@ -136,17 +140,22 @@ def _bits(size):
     return max(LEAST_BITS, 1 << (int(size) - 1).bit_length())
 
 
+def _bitmap(value: np.ndarray) -> bytes:
+    """The parity bitmap of a set: each bit says whether an odd number of shingles falls on it."""
+    n = _bits(len(value))
+    odd = np.bincount((value & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, bitmap, set): each bit says whether an odd number of shingles falls on it; sets of ``SMALL`` shingles at most go along whole."""
+    """(node, bitmap, set); sets of ``SMALL`` shingles at most go along whole."""
     for batch in batches:
         for begin, part in slices(batch.column("text")):
             value, row = shingles(part)
             first = np.searchsorted(row, np.arange(len(part) + 1))
             maps, sets = [], []
             for x, y in zip(first[:-1], first[1:], strict=True):
-                n = _bits(y - x)
-                odd = np.bincount((value[x:y] & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
-                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                maps.append(_bitmap(value[x:y]))
                 sets.append(value[x:y].tobytes() if y - x <= SMALL else None)
             yield pa.record_batch([batch.column("node").slice(begin, len(part)), pa.array(maps, pa.binary()), pa.array(sets, pa.binary())], names=["node", "bitmap", "set"])
 
@@ -157,11 +166,33 @@ def _alike(x: bytes, y: bytes, size: int) -> bool:
     return sum(SIMILAR) * int((both[1:] == both[:-1]).sum()) >= SIMILAR[0] * size
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, known) of nodes of different roots that meet and may be similar; ``known`` ones are.
+def _laid(raw: list[np.ndarray], length: np.ndarray) -> dict[int, np.ndarray]:
+    """The bitmaps of a group for each length: those of twice the length are folded down."""
+    laid = {}
+    for bits in np.unique(length):
+        rows = np.zeros((len(raw), bits // 64), np.uint64)
+        for k in np.flatnonzero((length == bits) | (length == 2 * bits)):
+            rows[k] = np.bitwise_xor.reduce(raw[k].reshape(-1, bits // 64), axis=0)
+        laid[int(bits)] = rows
+    return laid
+
+
+def _possible(laid: dict[int, np.ndarray], length: np.ndarray, size: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Those of the sets ``j``, which are no smaller, that may be similar to set ``i``.
 
     Two sets differ in at least as many shingles as their parity bitmaps in bits, so a larger difference than similar sets can have
-    rules a pair out. Of sets that are here whole only the links of a forest leave, once they are found similar.
+    rules a pair out.
+    """
+    (num, den), rows = SIMILAR, laid[int(length[i])]
+    together = size[i] + size[j]
+    differ = together + 2 * (-num * together // (num + den))
+    return j[np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64) <= differ]
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, known) of nodes that meet, two for each row of a key at most. ``known`` ones are a forest of the similar sets that are here whole.
+
+    The others are stars: pairs of different roots of which one set is not here whole, and which may be similar, are in one star.
     """
     held = [b for b in batches if len(b)]
     if not held:
@@ -182,35 +213,64 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if label.max() == 0:
             continue
         own, held = size[x:y].astype(np.int64), sets.slice(x, y - x).to_pylist()
-        whole = np.array([z is not None for z in held])
-        laid: dict[int, np.ndarray] = {}
-        raw, length = [np.frombuffer(z, np.uint64) for z in maps.slice(x, y - x).to_pylist()], np.array([_bits(n) for n in own])
-        for bits in np.unique(length):  # larger ones are folded down to the shorter of a pair
-            rows = np.zeros((y - x, bits // 64), np.uint64)
-            for k in np.flatnonzero((length == bits) | (length == 2 * bits)):
-                rows[k] = np.bitwise_xor.reduce(raw[k].reshape(-1, bits // 64), axis=0)
-            laid[int(bits)] = rows
+        whole, star = np.array([z is not None for z in held]), np.arange(y - x)
+        length = np.array([_bits(n) for n in own])
+        laid = _laid([np.frombuffer(z, np.uint64) for z in maps.slice(x, y - x).to_pylist()], length)
         for i in range(y - x - 1):
             stop = int(np.searchsorted(own, own[i] * den // num, side="right"))  # sizes grow
             j = np.arange(i + 1, stop)
-            j = j[label[j] != label[i]]
+            j = j[(label[j] != label[i]) & ((star[j] != star[i]) | (whole[i] & whole[j]))]
             if not len(j):
                 continue
-            rows = laid[int(length[i])]
-            together = own[i] + own[j]
-            differ = together + 2 * (-num * together // (num + den))
-            j = j[np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64) <= differ]
-            for k in j.tolist():
-                if label[i] == label[k]:
-                    continue
-                known = bool(whole[i] and whole[k])
-                if known and not _alike(held[i], held[k], int(own[i] + own[k])):
-                    continue
-                if known:
+            j = _possible(laid, length, own, i, j)
+            both = whole[i] & whole[j]
+            if not both.all():
+                star[np.isin(star, star[j[~both]])] = star[i]
+            for k in j[both].tolist():
+                if label[i] != label[k] and _alike(held[i], held[k], int(own[i] + own[k])):
                     label[label == label[k]] = label[i]
-                out.append((min(node[x + i], node[x + k]), max(node[x + i], node[x + k]), known))
+                    out.append((min(node[x + i], node[x + k]), max(node[x + i], node[x + k]), True))
+        _, first, of = np.unique(star, return_index=True, return_inverse=True)
+        tips = np.flatnonzero(first[of] != np.arange(y - x))
+        out.extend(zip(node[x + first[of[tips]]].tolist(), node[x + tips].tolist(), [False] * len(tips), strict=True))
+        if len(out) >= PAIRS:
+            yield send()
+    yield send()
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the similar sets of each block, a forest over their roots. All rows of a block are in one task, block after block."""
+
+    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows.sort(key=lambda r: len(r[2]))
+        _, label = np.unique([r[1] for r in rows], return_inverse=True)
+        own, (num, den) = np.array([len(r[2]) // 8 for r in rows], np.int64), SIMILAR
+        length = np.array([_bits(n) for n in own])
+        laid = _laid([np.frombuffer(_bitmap(np.frombuffer(r[2], np.uint64)), np.uint64) for r in rows], length)
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, int(np.searchsorted(own, own[i] * den // num, side="right")))
+            j = j[label[j] != label[i]]
+            for k in _possible(laid, length, own, i, j).tolist() if len(j) else []:
+                if label[i] != label[k] and _alike(rows[i][2], rows[k][2], int(own[i] + own[k])):
+                    label[label == label[k]] = label[i]
+                    yield rows[i][0], rows[k][0]
+
+    def send() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([link[k] for link in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    block, rows, out = None, [], []
+    for batch in batches:
+        for now, node, root, set_ in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "set")), strict=True):
+            if now != block and rows:
+                out += linked(rows)
+                rows = []
+            block = now
+            rows.append((node, root, set_))
             if len(out) >= PAIRS:
                 yield send()
+                out = []
+    if rows:
+        out += linked(rows)
     yield send()
 
 
@@ -262,6 +322,29 @@ def _by_fingerprint(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(equal.unionByName(near))
 
 
+def _inside(stars: DataFrame, near: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between similar nodes that ``stars`` (a, b) connect and ``near`` does not. Each set goes to its group once.
+
+    A group of more than ``BLOCK`` nodes or ``BLOCK_BYTES`` is cut into blocks that meet two by two, so no task holds more than two blocks.
+    """
+    grouped = components(stars).select("node", F.col("root").alias("group"))
+    rooted = materialise(_roots(grouped, near))
+    several = rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("group")
+    open_ = rooted.join(several, "group", "left_semi")
+    rows = nodes.join(open_, "node", "left_semi").select("row")
+    sets = materialise(texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(_sets, "node long, set binary").join(open_, "node"))
+    size = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set")).alias("bytes"))
+    cut = size.select("group", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = sets.join(cut, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.struct("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    at = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    held = dealt.select(at.alias("at"), block.cast("string").alias("block"), "node", "root", "set").repartition(partitions(stars.sparkSession), "at")
+    found = materialise(held.sortWithinPartitions("at", "block").select("block", "node", "root", "set").mapInArrow(_forest, "a long, b long"))
+    release(rooted, sets)
+    return found
+
+
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``texts`` (row, node, text) with the similarity. ``nodes`` names one row of each node."""
     spark = texts.sparkSession
@@ -288,8 +371,10 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     signed = materialise(texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(_signatures, "node long, bitmap binary, set binary"))
     pairs = materialise(rest.join(signed, "node").repartition(n, "key").mapInArrow(_open_pairs, "a long, b long, known boolean"))
     release(rest, signed)
-    asked = materialise(pairs.where("not known").select("a", "b").distinct())
-    return near.unionByName(pairs.where("known").select("a", "b")).unionByName(_verified(asked, texts, nodes))
+    near = near.unionByName(materialise(pairs.where("known").select("a", "b").distinct()))
+    inside = _inside(pairs.where("not known").select("a", "b"), near, texts, nodes)
+    release(pairs)
+    return near.unionByName(inside)
 
 
 def _with_nodes(docs: DataFrame, text: str) -> DataFrame:
