@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,30 @@ def test_packed_pairs():
     got = lm._unpack(iter([lm._pack(key[::-1], n[::-1], key[::-1] % 7), lm._pack(key, n, key % 5), lm._pack(key[:0], n[:0], key[:0])]))
     assert np.array_equal(got[0], key) and np.array_equal(got[1], 2 * n)
     assert len(lm._unpack(iter([]))[0]) == 0
+
+
+def test_places_find_what_is_in_the_table():
+    r = np.random.default_rng(2)
+    for size in (0, 1, 2, 700):
+        table = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        keys = np.concatenate([table, r.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2), np.array([0, 2**64 - 2], np.uint64)])
+        at, known = lm.Places(table).look_up(keys)
+        assert known.tolist() == [True] * len(table) + [False] * 302
+        assert (table[at[known]] == keys[known]).all()
+
+
+def test_a_pair_of_symbols_is_asked_once_for_all_batches_of_a_task(monkeypatch):
+    """Before, each batch asked the model again."""
+    v = lm.make_vocabulary(np.arange(40, dtype=np.uint64) << np.uint64(58), np.zeros(40, np.int64), np.arange(40) * 3 + 9, 3000, 60, {})
+    m = lm.Model(np.zeros(v.classes, np.float32), *(np.zeros((n, v.classes), np.float32) for n in (v.symbols, v.symbols, v.rows)))
+    asked, classes = [], lm.Model.classes
+    monkeypatch.setattr(lm.Model, "classes", lambda self, before, last: asked.append(len(before)) or classes(self, before, last))
+    held = type("Held", (), {})
+    shared, model = held(), held()
+    shared.value, model.value = v, m
+    batch = pa.record_batch([pa.array([np.arange(30, dtype=np.int32).tobytes(), np.arange(5, 25, dtype=np.int32).tobytes()], pa.binary())], names=["words"])
+    one = lm._gradient(shared, model)(iter([batch]))
+    once = sum(asked)
+    many = lm._gradient(shared, model)(iter([batch] * 4))
+    assert sum(asked) == 2 * once
+    assert np.allclose(many, 4 * one)

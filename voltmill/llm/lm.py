@@ -44,6 +44,7 @@ PULL = 4.0  # added to observed and expected counts
 DISCOUNT = 0.6  # taken from the count of a pair
 STEPS = 6  # updates of the pairs' weights
 CHUNK = 1 << 13
+HELD = 1 << 20  # pairs of symbols that a task gathers before it asks the model
 END = np.uint64(0x656E64)  # the hash of the end token
 
 
@@ -64,9 +65,11 @@ def tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _distinct(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, position, sum of n) of the different keys."""
-    key, at, which = np.unique(key, return_index=True, return_inverse=True)
-    return key, at, np.bincount(which, n, len(key)).astype(np.int64)
+    """(key, a position, sum of n) of the different keys."""
+    order = np.argsort(key)
+    key, n = key[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], order[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for _, part in slices(batch.column("text")):
             h, begin, _ = tokens(part)
-            h, at, n = np.unique(h, return_index=True, return_counts=True)
+            h, at, n = _distinct(h, np.ones(len(h), np.int64))
             found.append((h, begin[at].astype(np.int32), n))
         if found:
             h, begin, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -82,6 +85,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([h.view(np.int64), begin[at], n], names=["hash", "begin", "n"])
 
 
+class Places:
+    """Looks hashes up in a sorted table of different ones, from where those with the same first bits begin: a few steps for each, not one for
+    each halving of the table."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        bits = max(1, len(table).bit_length())
+        self.table, self.shift = table, np.uint64(64 - bits)
+        self.first = np.r_[0, np.cumsum(np.bincount((table >> self.shift).astype(np.int64), minlength=1 << bits))]
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, known); the position of an unknown one is any."""
+        cell = (keys >> self.shift).astype(np.int64)
+        at, stop, known = self.first[cell], self.first[cell + 1], np.zeros(len(keys), bool)
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = self.table[at[left]] == keys[left]
+            known[left[here]] = True
+            left = left[~here]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return np.minimum(at, max(len(self.table) - 1, 0)), known
+
+
 @dataclass
 class Vocabulary:
     """The frequent words, sorted by hash, with their counts, classes and context symbols. ``share``: log10 of a word's share of its class.
@@ -115,11 +141,6 @@ class Vocabulary:
     def rows(self) -> int:
         return 1 << (2 * self.symbols - 1).bit_length()
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, known)"""
-        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
-        return at, (self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool))
-
 
 def _spread(begin: np.ndarray, n: int) -> np.ndarray:
     return (mix(begin.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
@@ -177,12 +198,12 @@ def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        v, next_row = vocabulary.value, TaskContext.get().partitionId() << 33
+        places, next_row = Places(vocabulary.value.hash), TaskContext.get().partitionId() << 33
         for batch in batches:
             for begin, part in slices(batch.column("text")):
                 n = len(part)
                 h, beginning, row = tokens(part)
-                at, known = v.look_up(h)
+                at, known = places.look_up(h)
                 word = np.where(known, at, -1 - beginning).astype(np.int32)
                 packed = []
                 for x, of in ((word, row), (h[~known], row[~known])):
@@ -274,6 +295,18 @@ def _gradient(vocabulary, model):
         c, sizes = v.classes, (len(m.last), len(m.skip), len(m.both))
         out = np.zeros(2 * sum(sizes) * c)
         tables = [x.reshape(-1, c) for x in np.split(out, np.cumsum([s * c for s in (*sizes, *sizes)])[:-1])]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def expect() -> None:
+            """Adds what the model expects after the pairs of symbols that are held, each once."""
+            pair, _, n = _distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            for a in range(0, len(pair), CHUNK):
+                before, last = np.divmod(pair[a : a + CHUNK], len(m.last))
+                p = np.exp(m.classes(before, last)) * n[a : a + CHUNK, None].astype(np.float32)
+                for table, at in zip(tables[3:], (last, before, m.pair_row(before, last)), strict=True):
+                    _sum_rows(table, at, p)
+
         for batch in batches:
             for _, part in slices(batch.column("words")):
                 t = read_tokens(v, part)
@@ -283,12 +316,11 @@ def _gradient(vocabulary, model):
                     cell = at * c + t.cls
                     cell, n = np.unique(cell, return_counts=True)
                     table.reshape(-1)[cell] += n
-                pair, n = np.unique(t.before * len(m.last) + t.last, return_counts=True)
-                for a in range(0, len(pair), CHUNK):
-                    before, last = np.divmod(pair[a : a + CHUNK], len(m.last))
-                    p = np.exp(m.classes(before, last)) * n[a : a + CHUNK, None].astype(np.float32)
-                    for table, at in zip(tables[3:], (last, before, m.pair_row(before, last)), strict=True):
-                        _sum_rows(table, at, p)
+                held.append(np.unique(t.before * len(m.last) + t.last, return_counts=True))
+                if sum(len(pair) for pair, _ in held) > HELD:
+                    expect()
+        if held:
+            expect()
         return out
 
     return run
@@ -302,10 +334,12 @@ def _train_classes(train: DataFrame, shared, v: Vocabulary) -> Model:
     tables = [np.zeros((n, c), np.float32) for n in (v.symbols, v.symbols, v.rows)]
     single = lambda: Model(prior.astype(np.float32), *(x.astype(np.float32) for x in tables))
     base = np.exp(prior)
+    fewer = max(spark.sparkContext.defaultParallelism, partitions(spark) // UPDATES)  # each task sends tables, and an update reads a part of the rows
     for update in range(UPDATES):
         now = spark.sparkContext.broadcast(single())
         size = sum(x.size for x in tables)
-        both = table_sum(train.where(F.col("part") == update).select("words"), 2 * size, _gradient(shared, now), kind=np.float32)
+        own = train.where(F.col("part") == update).select("words").coalesce(fewer)
+        both = table_sum(own, 2 * size, _gradient(shared, now), kind=np.float32)
         now.destroy()  # a broadcast's files stay with every executor until then
         at = np.cumsum([0, *(x.size for x in tables)])
         for k, (weight, step) in enumerate(zip(tables, (0.5, 0.4, 0.5), strict=True)):
@@ -453,6 +487,7 @@ def _carried(weights: DataFrame) -> Carried:
 def _score(vocabulary, model, carried):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, top = vocabulary.value, model.value, carried.value
+        places = Places(top.key)
         z = np.log10(v.total + 0.5 * (v.different + 1))
         unseen = np.log10(0.5)
         log_count, log_mass = np.log10(v.count + 0.5), np.log10(v.mass)
@@ -464,18 +499,20 @@ def _score(vocabulary, model, carried):
                 total = lambda x, of=row: np.bincount(of, x, n)
                 base, score = np.full(len(row), unseen), unseen - log_mass[t.cls]
                 base[known], score[known] = log_count[t.word[known]], v.share[t.word[known]]
-                pair, which = np.unique(t.before * len(m.last) + t.last, return_inverse=True)
-                order = np.argsort(which, kind="stable")
-                edges = np.searchsorted(which[order], np.arange(0, len(pair) + CHUNK, CHUNK))
-                for a, (low, high) in zip(range(0, len(pair), CHUNK), zip(edges[:-1], edges[1:], strict=True), strict=False):
-                    classes = m.classes(*np.divmod(pair[a : a + CHUNK], len(m.last)))
+                pair = t.before * len(m.last) + t.last
+                order = np.argsort(pair)
+                pair = pair[order]
+                new = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+                which, first = np.cumsum(new) - 1, np.flatnonzero(new)  # of the tokens in this order
+                edges = np.r_[first[::CHUNK], len(pair)]
+                for a, low, high in zip(range(0, len(first), CHUNK), edges[:-1], edges[1:], strict=True):
+                    classes = m.classes(*np.divmod(pair[first[a : a + CHUNK]], len(m.last)))
                     at = order[low:high]
-                    score[at] += classes[which[at] - a, t.cls[at]] / np.log(10)
+                    score[at] += classes[which[low:high] - a, t.cls[at]] / np.log(10)
                 both = np.flatnonzero(t.paired)
                 keys = np.concatenate([pair_key(t.after[both], t.word[both]), pair_key(t.after[both], START + t.cls[both])])
                 of = np.concatenate([both, both])
-                at = np.minimum(np.searchsorted(top.key, keys), max(len(top.key) - 1, 0))
-                here = top.key[at] == keys if len(top.key) else np.zeros(len(keys), bool)
+                at, here = places.look_up(keys)
                 sums = total(score) + np.bincount(row[of[here]], top.weight[at[here]].astype(np.float64), n)
                 asked = ~here
                 asked[asked] = bloom.test(top.rest, keys[asked])
