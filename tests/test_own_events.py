@@ -83,3 +83,33 @@ def test_an_artefact_makes_no_pairs(spark):
     found = joins.lag_counts(e, e, [0, 1, 2])
     assert {(r.t, *r.counts) for r in found.collect()} == {(7, 500, 0), (8, 500, 500)}
     assert " Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_raster_over_many_blocks(both, monkeypatch):
+    """Blocks and slices of few events, slices that an event meets in part or not at all, more tasks than one, and no event or trigger at all."""
+    from voltmill.operators import joins
+
+    for what, n in (("BLOCK", 7), ("SLICE", 3), ("TASK", 50)):
+        monkeypatch.setattr(joins, what, n)
+    events = [(600.0 * k, k % 5, c, 1.0) for k in range(30) for c in ("purchase", "view", "purchase")]
+    events += made(400, 9, days=0.2) + [(3600.0, 1, "purchase", 1.0)] * 20 + [(0.0, 1, "view", None), (7200.0, 1, None, 1.0), (-3600.0, 1, "purchase", 1.0)]
+    mine, other = both("raster_repeats", events)
+    assert mine == other and len(mine) > 5000
+    assert both("raster_repeats", []) == ([], [])
+    assert both("raster_repeats", [(5.0, 1, "view", 1.0)]) == ([], [])
+
+
+def test_a_raster_takes_little_room(spark, tmp_path):
+    """A million pairs of events at equal times, written as Parquet, take less than half a byte each, wherever the copies stand in the input."""
+    r = np.random.default_rng(3)
+    base = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=int(us)), c) for us, c in zip(r.integers(0, 4 * 3600 * 10**6, 150), r.choice(["purchase", "view"], 150), strict=True)]
+    rows = [(150 * k + i, t, 1, c, 1.0) for k in range(40) for i, (t, c) in enumerate(base)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
+    catalogue.QUERIES["raster_repeats"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    total = "SELECT count(*), sum(hash(repeat, event_id, lag)::HUGEINT) FROM "
+    found = con.sql(f"{total} '{tmp_path}/out/*.parquet'").fetchall()
+    assert found == con.sql(f"{total} ({catalogue.ORACLES['raster_repeats']})").fetchall()
+    assert found[0][0] > 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < found[0][0] / 2
