@@ -339,7 +339,8 @@ def _inside(stars: DataFrame, near: DataFrame, texts: DataFrame, nodes: DataFram
     dealt = sets.join(cut, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     block = F.struct("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     at = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    held = dealt.select(at.alias("at"), block.cast("string").alias("block"), "node", "root", "set").repartition(partitions(stars.sparkSession), "at")
+    # a task holds a block at a time, so Spark may make few tasks of many
+    held = dealt.select(at.alias("at"), block.cast("string").alias("block"), "node", "root", "set").repartition("at")
     found = materialise(held.sortWithinPartitions("at", "block").select("block", "node", "root", "set").mapInArrow(_forest, "a long, b long"))
     release(rooted, sets)
     return found
@@ -358,19 +359,18 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     counted = met.where(alike & (F.col("node") != F.col("hub"))).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.floor(F.least("size", "hub_size") / 20) + 1).alias("need"))
     linked = components(near)
     of = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    met_often = materialise(counted.where("n >= need").select("a", "b"))
+    met_often = counted.where("n >= need").select("a", "b")
     apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     stars = materialise(met_often.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
-    release(met_often)
     # a hub is not the hub of every key: what this leaves out is compared below
     near = near.unionByName(_verified(stars, texts, nodes))
     rooted = _roots(met.select("key", "node", "size"), near)
     rest = materialise(rooted.repartition(n, "key").mapInArrow(_unsettled, "key long, node long, size int, root long"))
     release(met)
     rows = nodes.join(rest.select("node").distinct(), "node", "left_semi").select("row")
-    signed = materialise(texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(_signatures, "node long, bitmap binary, set binary"))
+    signed = texts.join(rows, "row", "left_semi").select("node", "text").mapInArrow(_signatures, "node long, bitmap binary, set binary")
     pairs = materialise(rest.join(signed, "node").repartition(n, "key").mapInArrow(_open_pairs, "a long, b long, known boolean"))
-    release(rest, signed)
+    release(rest)
     near = near.unionByName(materialise(pairs.where("known").select("a", "b").distinct()))
     inside = _inside(pairs.where("not known").select("a", "b"), near, texts, nodes)
     release(pairs)

@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Steps on a local path are written without ``.crc`` files, as for each file the default starts five ``chmod`` processes, and for these two:
+#: the JVM is forked for each, and until the child runs ``chmod`` the executor's memory shows twice. Parquet's own checksums of pages are verified instead.
+_PLAINLY = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
 #: Words are runs of anything but these bytes (U+0020, U+0009 to U+000D), in every operator of this package.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,8 +37,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    held = spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression="zstd", **_PLAINLY).parquet(path)
+    held = spark.read.schema(df.schema).options(**_VERIFIED).parquet(path)
     held.__dict__["_step_path"] = path
     return held
 
