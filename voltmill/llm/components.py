@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, release
+from .shared import materialise, partitions, release
+
+FEWER = 8
 
 
 def _towards_least(pairs: DataFrame) -> DataFrame:
@@ -18,9 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that can be reached.
 
     Loops and repeated edges change nothing; an edge with a null end is left out. No edges give no rows.
-    Each round is written to the shared folder, and their number grows with the logarithm of the longest path.
+    Each round is written to the shared folder, and their number grows with the logarithm of the longest path. Edges are small
+    beside the texts that the partitions are made for, so a file holds ``FEWER`` of them.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    files = max(1, partitions(edges.sparkSession) // FEWER)
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files))
     before = None
     while (state := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before:
         before = state
@@ -29,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         joined = _towards_least(down)
         small = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(joined.select("a", F.col("least").alias("b")))
-        now, done = materialise(small.where("a <> b").distinct()), now
+        now, done = materialise(small.where("a <> b").distinct().coalesce(files)), now
         release(done)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
