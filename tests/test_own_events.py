@@ -65,6 +65,37 @@ def test_pairs_of_no_events(both):
     assert both("crosscorrelogram", []) == ([], [])
 
 
+def test_tiles_travel_packed(spark, monkeypatch):
+    """Each two tiles meet in a partition of their own, and a row that goes there takes a few bytes."""
+    from voltmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "UNITS", 250)
+    table = spark.range(200_000).select((F.col("id") % 2000).alias("unit"), F.expr("id div 2000 * 2").alias("at"), F.lit(1.0).alias("value"))
+    met = pairs.tiles(table).select("met", "tile", F.length("rows").alias("size"), F.spark_partition_id().alias("part")).collect()
+    assert len({r.met for r in met}) == len({r.part for r in met}) == 36 and len(met) == 64
+    assert sum(r.size for r in met) < 8 * 200_000
+
+
+def _taken(df, path):
+    df.write.parquet(f"{path}")
+    return sum(f.stat().st_size for f in path.glob("*.parquet"))
+
+
+def test_shares_of_many_pairs_take_little_room(spark, tmp_path, monkeypatch):
+    """Rounded scores by bands: the same rows as without, and fewer bytes than numbers in full."""
+    from voltmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "TILES", 1)
+    r = np.random.default_rng(4)
+    n = r.poisson(2.2, (1600, 30))
+    share = np.sqrt(n / n.sum(axis=1, keepdims=True))
+    p = spark.createDataFrame([(int(u), int(d), float(share[u, d])) for u, d in zip(*np.nonzero(n), strict=True)], "unit long, at long, value double")
+    scores = lambda band: pairs.pairs(p, lambda a, b: (a @ b.T)[None], ["bhatta"], kind="double", band=band).withColumn("bhatta", F.round("bhatta", 6))
+    found = scores(1 / 256)
+    assert found.count() == 1600 * 1599 // 2 and found.exceptAll(scores(None)).isEmpty()
+    assert _taken(found, tmp_path / "out") < 6 * 1600 * 1599 // 2
+
+
 @pytest.mark.parametrize("name", ["trigger_median_artefact", "artefact_subtract", "raster_repeats"])
 def test_around_triggers(both, name):
     """Lags on the edges, equal times, null values and channels, a channel without values, and an even number of values."""
