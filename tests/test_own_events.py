@@ -96,6 +96,25 @@ def test_shares_of_many_pairs_take_little_room(spark, tmp_path, monkeypatch):
     assert _taken(found, tmp_path / "out") < 6 * 1600 * 1599 // 2
 
 
+def test_counts_of_many_pairs_take_little_room(spark, tmp_path, monkeypatch):
+    """The counts of a correlogram's row, its lag and its units take little more than the five bits of a common count."""
+    from voltmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "TILES", 1)
+    r = np.random.default_rng(4)
+    found = r.random((700, 120)) < 0.42
+    found[0] = True  # a unit whose counts are seldom ones
+    b = spark.createDataFrame([(int(u), int(k)) for u, k in zip(*np.nonzero(found), strict=True)], "unit long, bin long")
+    cc = pairs.correlograms(b, 8)
+    taken = _taken(cc, tmp_path / "out")
+    n = cc.agg(F.count("n"), F.sum("n"), F.countDistinct("i", "j"), F.sum(F.col("n") * F.col("lag") * (F.col("i") + 2 * F.col("j")))).first()
+    x = found.astype(np.int64)
+    each = [np.triu(x[:, max(0, -k) : 120 - max(0, k)] @ x[:, max(0, k) : 120 - max(0, -k)].T, 1) for k in range(-8, 9)]
+    i, j = np.arange(700)[:, None], np.arange(700)
+    assert tuple(n) == (sum((e > 0).sum() for e in each), sum(e.sum() for e in each), 700 * 699 // 2, sum((k * e * (i + 2 * j)).sum() for k, e in zip(range(-8, 9), each, strict=True)))
+    assert taken < 0.74 * n[0]
+
+
 @pytest.mark.parametrize("name", ["trigger_median_artefact", "artefact_subtract", "raster_repeats"])
 def test_around_triggers(both, name):
     """Lags on the edges, equal times, null values and channels, a channel without values, and an even number of values."""
